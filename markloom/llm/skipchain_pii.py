@@ -40,8 +40,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9@]\S*")
 _NONDIGIT = re.compile(r"[^0-9]")
 FEATURES = 1 << 12
-#: Log-potential that a skip link's ends agree, before the sample is seen.
-AGREE = 5.0
+#: Prior log-odds that a skip link's ends agree: 999 of 1000 linked mentions do.
+AGREE = 6.9
 
 
 def emails(text: str) -> list[tuple[int, int]]:
