@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf_langid, skipchain_pii, winnow_decontam
+from . import crf_langid, residual_packing, simhash_pivot, skipchain_pii, winnow_decontam
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash_pivot.near_duplicates(docs).drop("fp")
+
+
 def op4_winnow_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnow_decontam.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return out.drop("item_ids")
@@ -31,5 +36,9 @@ def op6_skipchain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skipchain_pii.detect(docs, skipchain_pii.train(docs), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii)}
+def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_packing.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii, op9_residual_packing)}
 ORACLE_SQL: dict[str, str] = {}
