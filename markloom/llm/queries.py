@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf_langid, residual_packing, simhash_pivot, skipchain_pii, winnow_decontam
+from . import crf_langid, residual_packing, simhash_pivot, skipchain_pii, spotsigs, warc_source, winnow_decontam
+from ._store import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +37,19 @@ def op6_skipchain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skipchain_pii.detect(docs, skipchain_pii.train(docs), ["doc_id"])
 
 
+def op7_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc_source.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc_source.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_packing.sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii, op9_residual_packing)}
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii, op7_warc_source, op9_residual_packing, op10_spotsigs)}
 ORACLE_SQL: dict[str, str] = {}
