@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import anchor_dedup, columnwise_suffix, crf_langid, residual_packing, simhash_pivot, skipchain_pii, spotsigs, warc_source, winnow_decontam
+from . import anchor_dedup, columnwise_suffix, crf_langid, lm_score, residual_packing, simhash_pivot, skipchain_pii, spotsigs, warc_source, winnow_decontam
 from ._store import new_path
 
 
@@ -17,6 +17,10 @@ def op1_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivot.near_duplicates(docs).drop("fp")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op3_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
@@ -59,5 +63,5 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op3_anchor_dedup, op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii, op7_warc_source, op8_columnwise_suffix, op9_residual_packing, op10_spotsigs)}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_lm_score, op3_anchor_dedup, op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii, op7_warc_source, op8_columnwise_suffix, op9_residual_packing, op10_spotsigs)}
 ORACLE_SQL: dict[str, str] = {}
