@@ -215,7 +215,7 @@ def repeated(bodies: list[bytes]) -> list[bytes]:
 
 def deduplicate(docs: DataFrame, slot_bytes: int = 16 << 20) -> DataFrame:
     """RESULT and kept (binary): the text's bytes that stay."""
-    batches = packed(docs)
+    batches = packed(docs, 3 << 20)
     slots = slots_for(batches, slot_bytes)
     none = np.zeros(0, np.uint64)
 
@@ -231,7 +231,7 @@ def deduplicate(docs: DataFrame, slot_bytes: int = 16 << 20) -> DataFrame:
     def cut(rows):
         for _, ids, texts, (first, second) in each_batch(rows):
             batch = Batch(ids, texts, slots)
-            cover = [np.zeros(len(p.blob) + 1, np.int64) for p in batch.parts]
+            cover = [np.zeros(len(p.blob) + 1, np.int32) for p in batch.parts]
             for slot, known, _, which, _ in batch.asked(first):
                 mask = np.unpackbits(np.frombuffer(second[slot], np.uint8).reshape(len(known), -1), axis=1, count=SIDE + 1)
                 for k, a, z, j in which:
