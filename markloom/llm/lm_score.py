@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from ._store import written
 from ._text import Words, blobs, mix
 
 WORD_BITS, PAIR_BITS, SLOT_BITS = 18, 21, 16
@@ -46,9 +47,12 @@ def events(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, target): target is 1 for documents of quality 1."""
+    """(doc_id, text, target): target is 1 for documents of quality 1.
+
+    The labels grow with the documents, so the join is a merge at every size.
+    """
     own = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    joined = docs.select("doc_id", "text").join(own, "doc_id", "left")
+    joined = docs.select("doc_id", "text").join(own.hint("merge"), "doc_id", "left")
     return joined.select("doc_id", "text", F.coalesce(F.col("quality") == 1, F.lit(False)).cast("int").alias("target"))
 
 
@@ -112,7 +116,7 @@ def losses(table: np.ndarray, w: Words, target: np.ndarray) -> tuple[np.ndarray,
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, SCORES) of every document."""
-    rows = labelled(docs, labels)
+    rows = written(labelled(docs, labels), "labelled")
     table = counts(rows)
     sent = docs.sparkSession.sparkContext.broadcast(table.astype(np.int32) if table.max(initial=0) < 2**31 else table)
     trained = bool(table[0].any())
