@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +37,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_encoders: dict[str, Encoder] = {}
+
+
 class Encoder:
-    """Token ids of white-space words, with a bounded memory of earlier words.
+    """Token ids of white-space words, with a bounded memory of the words met first.
 
     White space separates tokens of this tokenizer, so a text's ids are its
     words' ids in a row.
     """
 
-    def __init__(self, path: str, known: int = 300_000):
+    def __init__(self, path: str, known: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known, self.seen = known, {}
 
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """The worker's own encoder, kept from task to task."""
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        return _encoders[path]
+
     def ids(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids in a row, and where each word's begin."""
         _, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -60,12 +71,10 @@ class Encoder:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for j, e in zip(part, self.tokenizer.encode_batch_fast([words[j].decode("utf-8", "replace") for j in part], add_special_tokens=False), strict=True):
-                own[j] = np.array(e.ids, "<u4")
-        if len(self.seen) + len(new) > self.known:
-            self.seen.clear()
-        self.seen.update((words[i], own[i]) for i in new[: self.known])
-        size = np.array([len(x) for x in own], np.int64)
-        flat = np.concatenate(own) if own else np.zeros(0, "<u4")
+                own[j] = array("I", e.ids).tobytes()
+        self.seen.update((words[i], own[i]) for i in new[: max(0, self.known - len(self.seen))])
+        size = np.array([len(x) for x in own], np.int64) >> 2
+        flat = np.frombuffer(b"".join(own), "<u4")
         begin = np.concatenate([[0], np.cumsum(size)])[:-1]
         n = size[back]
         first = np.concatenate([[0], np.cumsum(n)])
@@ -77,10 +86,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or tokenizer_path()
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = Encoder.of(path)
         for batch in batches:
             ids = batch.column(0)
-            for i, j, blob, offsets in blobs(batch.column(1), 8 << 20):
+            for i, j, blob, offsets in blobs(batch.column(1), 16 << 20):
                 w = Words(blob, offsets)
                 flat, first = encoder.ids(w)
                 rows: list[tuple[int, int, int, int, int]] = []
