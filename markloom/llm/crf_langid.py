@@ -62,7 +62,7 @@ def feature_ids(words: np.ndarray, start: np.ndarray, end: np.ndarray):
     yield (span_hash(s, a, b) & mask).astype(np.int64), np.arange(len(a))
 
 
-def emissions(weights: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = 200_000) -> np.ndarray:
+def emissions(weights: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = 50_000) -> np.ndarray:
     """Log-potentials of the words' labels."""
     out = np.zeros((len(start), weights.shape[1]))
     for i in range(0, len(start), piece):
@@ -181,7 +181,7 @@ class Model:
 
 def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     langs, scores = [], []
-    for i, j, blob, offsets in blobs(texts, 8 << 20):
+    for i, j, blob, offsets in blobs(texts, 4 << 20):
         letter = ((blob | 0x20) >= 0x61) & ((blob | 0x20) <= 0x7A)
         maybe = letter | (blob >= 0x80)
         some = np.concatenate([[0], np.cumsum(letter)])

@@ -47,7 +47,7 @@ class Encoder:
     words' ids in a row.
     """
 
-    def __init__(self, path: str, known: int = 600_000):
+    def __init__(self, path: str, known: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
