@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import anchor_dedup, columnwise_suffix, crf_langid, lm_score, residual_packing, simhash_pivot, skipchain_pii, spotsigs, warc_source, winnow_decontam
 from ._store import new_path
+from .oracles import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +65,4 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_lm_score, op3_anchor_dedup, op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii, op7_warc_source, op8_columnwise_suffix, op9_residual_packing, op10_spotsigs)}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
