@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._store import written
-from ._text import Words, blobs
+from ._text import Words, blobs, hash_spans
 
 CAPACITY, END = 2048, 0
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -40,11 +39,20 @@ def tokenizer_path() -> str:
 _encoders: dict[str, Encoder] = {}
 
 
+#: Marks that end many words; after an ASCII letter or digit each is a token of its own.
+_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+_ALNUM = np.isin(np.arange(256), list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+
+
 class Encoder:
     """Token ids of white-space words, with a bounded memory of the words met first.
 
-    White space separates tokens of this tokenizer, so a text's ids are its
-    words' ids in a row.
+    White space separates tokens of this tokenizer and case does not matter to
+    it, so a text's ids are those of its words in a row, a last mark apart and
+    ASCII letters lowered.  Lowering waits where it could matter: beside
+    combining marks, which compose with some small letters only, and beside
+    what may be a special token.  New words are encoded many to a string, with
+    NUL between them, whose id no word without NUL can have.
     """
 
     def __init__(self, path: str, known: int = 250_000):
@@ -53,6 +61,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known, self.seen = known, {}
+        (self.between,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -61,24 +70,45 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def ids(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids in a row, and where each word's begin."""
-        _, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+    def encoded(self, words: list[bytes], together: int = 64) -> list[bytes]:
+        """Ids of each word as bytes."""
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, x in enumerate(words) if b"\0" not in x and b"<|" not in x]
+        groups = [plain[i : i + together] for i in range(0, len(plain), together)]
+        texts = ["".join(words[i].decode("utf-8", "replace") + " \0 " for i in g) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends, data, at = np.flatnonzero(ids == self.between).tolist(), ids.tobytes(), 0
+            for i, end in zip(g, ends, strict=True):
+                out[i], at = data[4 * at : 4 * end], end + 1
+        for i in sorted({*range(len(words))} - {*plain}) if len(plain) < len(words) else ():
+            out[i] = np.array(self.tokenizer.encode(words[i].decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def ids(self, blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and where each text's begin."""
+        raw = blob.tobytes()
+        w = Words(blob, offsets, lower=not (b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw), hashes=False)
         data = w.blob.tobytes()
-        words = [data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+        cut = (w.end - w.start > 1) & _MARK[w.blob[w.end - 1]] & _ALNUM[w.blob[w.end - 2]]
+        start = np.sort(np.concatenate([w.start, w.end[cut] - 1]))
+        end = np.sort(np.concatenate([w.end - cut, w.end[cut]]))
+        _, at, back = np.unique(hash_spans(w.blob, start, end), return_index=True, return_inverse=True)
+        words = [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
         own = [self.seen.get(x) for x in words]
         new = [i for i, x in enumerate(own) if x is None]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for j, e in zip(part, self.tokenizer.encode_batch_fast([words[j].decode("utf-8", "replace") for j in part], add_special_tokens=False), strict=True):
-                own[j] = array("I", e.ids).tobytes()
+            for j, e in zip(part, self.encoded([words[j] for j in part]), strict=True):
+                own[j] = e
         self.seen.update((words[i], own[i]) for i in new[: max(0, self.known - len(self.seen))])
         size = np.array([len(x) for x in own], np.int64) >> 2
         flat = np.frombuffer(b"".join(own), "<u4")
         begin = np.concatenate([[0], np.cumsum(size)])[:-1]
         n = size[back]
         first = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.repeat(begin[back] - first[:-1], n) + np.arange(first[-1])], first
+        span = np.concatenate([[0], np.cumsum(1 + cut.astype(np.int64))])
+        return flat[np.repeat(begin[back] - first[:-1], n) + np.arange(first[-1])], first[span[w.first]]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -90,10 +120,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         for batch in batches:
             ids = batch.column(0)
             for i, j, blob, offsets in blobs(batch.column(1), 16 << 20):
-                w = Words(blob, offsets)
-                flat, first = encoder.ids(w)
+                flat, first = encoder.ids(blob, offsets)
                 rows: list[tuple[int, int, int, int, int]] = []
-                for d, (a, b) in enumerate(zip(first[w.first[:-1]].tolist(), first[w.first[1:]].tolist(), strict=True)):
+                for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                     own = np.append(flat[a:b], np.uint32(END)).astype("<u4")
                     for p, s in enumerate(range(0, len(own), capacity)):
                         part = own[s : s + capacity]

@@ -4,10 +4,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from markloom.llm import graph, residual_packing, simhash_pivot
+from markloom.llm._text import blobs
 
 from .fixtures import frame, hostile
 
@@ -117,3 +119,17 @@ def test_sequences_hold_every_piece_once(spark, how):
     if not how:
         assert len(by_seq) == full + len(residual_packing.best_fit(np.array(last), 2048)[2])
     assert residual_packing.sequences(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_ids_of_words_are_those_of_whole_texts(marks):
+    rng = random.Random(3)
+    parts = ["a", "B", "É", "e", "İ", "ſ", "\u212a", "ß", "Σ", "1", "\u0663", ".", ",", "!", "'s", "'S", "'T.", "'", '"', "—", " ", " ", "\n", "\u00a0", "\u2028", "\0", "\x1c", "😀", "漢", "ﬁ"]
+    parts += ["J\u030c", "\u0301", "h\u0331", "I\u0307", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>"] if marks else []
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 30))) for _ in range(4000)] + [""]
+    encoder, got = residual_packing.Encoder(residual_packing.tokenizer_path(), known=50), []
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _, _, blob, offsets in blobs(pa.array(texts, pa.large_string()), 1 << 14):
+        flat, first = encoder.ids(blob, offsets)
+        got += [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert got == want
