@@ -181,7 +181,7 @@ class Model:
 
 def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     langs, scores = [], []
-    for i, j, blob, offsets in blobs(texts, 4 << 20):
+    for i, j, blob, offsets in blobs(texts, 2 << 20):
         letter = ((blob | 0x20) >= 0x61) & ((blob | 0x20) <= 0x7A)
         maybe = letter | (blob >= 0x80)
         some = np.concatenate([[0], np.cumsum(letter)])
