@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         encoder = Encoder.of(path)
         for batch in batches:
             ids = batch.column(0)
-            for i, j, blob, offsets in blobs(batch.column(1), 16 << 20):
+            for i, j, blob, offsets in blobs(batch.column(1), 4 << 20):
                 flat, first = encoder.ids(blob, offsets)
                 rows: list[tuple[int, int, int, int, int]] = []
                 for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
