@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_BYTES, MOST = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,10 @@ def dropped(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by their bytes, as 10,000 long texts would fill 64 MB on both sides of each worker."""
+    held = spark.conf.get(BATCH_BYTES)
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > MOST:
+        spark.conf.set(BATCH_BYTES, str(MOST))
