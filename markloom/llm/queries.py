@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import anchor_dedup, columnwise_suffix, crf_langid, lm_score, residual_packing, simhash_pivot, skipchain_pii, spotsigs, warc_source, winnow_decontam
-from ._store import new_path
+from ._store import new_path, small_batches
 from .oracles import ORACLE_SQL
 
 
@@ -36,6 +36,7 @@ def held_out() -> F.Column:
 
 
 def op5_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = crf_langid.identify(docs.select("doc_id", "text"), crf_langid.train(docs, ~held_out()), ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
