@@ -133,3 +133,16 @@ def test_ids_of_words_are_those_of_whole_texts(marks):
         flat, first = encoder.ids(blob, offsets)
         got += [flat[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
     assert got == want
+
+
+def test_small_batches_only_lowers_the_bound(spark):
+    from markloom.llm._store import BATCH_BYTES, MOST, small_batches
+
+    try:
+        small_batches(spark)
+        assert spark.conf.get(BATCH_BYTES).rstrip("b") == str(MOST)
+        spark.conf.set(BATCH_BYTES, "1000")
+        small_batches(spark)
+        assert spark.conf.get(BATCH_BYTES).rstrip("b") == "1000"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
