@@ -4,9 +4,11 @@ Base spans come from four patterns, matched in linear time.  The field then
 labels the tokens that hold a digit or an at sign: shape features give unary
 potentials, touching tokens share chain potentials, and distant repeated or
 similar tokens (equal core, equal digits, equal mail user) share skip
-potentials, each token with its latest predecessor of the same key, so that
-links grow with the tokens and not with their pairs.  Base spans are observed;
-loopy message passing carries their labels to the other mentions.  A token
+potentials, each token with its latest predecessor of the same key and with the
+key's first base span, wherever that stands, so that every mention hears it
+directly and links grow with the tokens and not with their pairs.  Base spans
+are observed; loopy message passing carries their labels to the other mentions
+until its messages settle.  A token
 outside base spans becomes a span when it has a skip link and its belief
 reaches ``sure``.  Base spans always stay.
 
@@ -133,7 +135,7 @@ class Graph:
         self.edges: list[tuple[int, int, int]] = []  # from, to, 0 chain or 1 skip
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
-        last: dict[str, int] = {}
+        mentions: dict[str, list[int]] = {}
         before, b = -1, 0
         for start, end in tokens_of(text):
             node = len(self.spans)
@@ -147,10 +149,13 @@ class Graph:
             if before >= 0 and self.spans[before][2] + 1 == start:
                 self.edges.append((before, node, 0))
             for key in keys_of(token):
-                if key in last:
-                    self.edges.append((last[key], node, 1))
-                last[key] = node
+                mentions.setdefault(key, []).append(node)
             before = node
+        for own in mentions.values():
+            self.edges += [(x, y, 1) for x, y in zip(own, own[1:], strict=False)]
+            seen = next((x for x in own if self.gold[x]), None)
+            if seen is not None:
+                self.edges += [(min(seen, x), max(seen, x), 1) for x in own if not self.gold[x]]
 
     def arrays(self):
         ids = np.array([f for x in self.feats for f in x], np.int64)
@@ -201,12 +206,12 @@ class Field:
             self.pair += rate * gp / np.sqrt(sp)
         return self
 
-    def beliefs(self, graph: Graph, rounds: int = 10) -> np.ndarray:
+    def beliefs(self, graph: Graph, rounds: int = 1000, settled: float = 1e-4) -> np.ndarray:
         """Loopy message passing over all documents at once; base labels are observed."""
         ids, owner, gold, edges = graph.arrays()
         n, k = len(gold), self.unary.shape[1]
         s = self.scores(ids, owner, n)
-        s[gold > 0] += 30 * np.eye(k)[gold[gold > 0]]
+        s[gold > 0] -= 1e9 * (1 - np.eye(k)[gold[gold > 0]])  # no number of mentions outvotes them
         source = np.concatenate([edges[:, 0], edges[:, 1]])
         target = np.concatenate([edges[:, 1], edges[:, 0]])
         tables = np.concatenate([self.pair[edges[:, 2]], self.pair[edges[:, 2]].transpose(0, 2, 1)])
@@ -219,7 +224,10 @@ class Field:
             x = out[:, :, None] + tables
             top = x.max(axis=1)
             new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
-            m = 0.5 * m + 0.5 * (new - new.max(axis=1, keepdims=True))
+            step = 0.5 * (new - new.max(axis=1, keepdims=True) - m)
+            m += step
+            if np.abs(step).max() < settled:
+                break
         np.add.at(s, target, m)
         p = np.exp(s - s.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)

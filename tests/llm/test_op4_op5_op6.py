@@ -160,3 +160,14 @@ def test_distant_mentions_take_the_label_and_base_spans_stay(spark):
     masked = [r.text for r in skipchain_pii.mask(docs, field).orderBy("doc_id").collect()]
     assert "<EMAIL>" in masked[0] and "example.com" not in masked[0] and masked[1:] == [None, ""]
     assert skipchain_pii.train(docs.limit(0)).unary.sum() == 0
+
+
+def test_every_later_mention_hears_the_base_span():
+    field = skipchain_pii.Field()
+    field.unary[:, 0] = 0.25  # ten features: 2.5 against every label
+    for n in (1, 2, 5, 30):
+        for place in (0, n // 2, n):
+            words = ["ask user77abc again"] * n
+            text = ". ".join([*words[:place], "write to user77abc@mail.example.com", *words[place:]])
+            (base, every), = skipchain_pii.find(field, [text])
+            assert len(base) == 1 and len(every) == 1 + n, (n, place)
