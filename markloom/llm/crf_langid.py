@@ -6,7 +6,9 @@ itself as lexicon entry, hashed into a fixed table of learned weights.  Learned
 transitions join neighbouring words, so words of code-switched text are
 labelled in context.  Forward-backward gives each word's label probabilities;
 a document's language is the label with the largest sum over words that hold a
-letter, its score the mean probability of that label.
+letter, its score the mean probability of that label, its certainty the mean of
+each such word's largest probability, whichever label that is: high also where
+every word of a code-switched text is told apart.
 
 Forward-backward is exact at any length: texts are cut into blocks, all blocks'
 transfer matrices are multiplied side by side, and block borders are scanned.
@@ -17,8 +19,9 @@ the training sequences join spans of different languages.
 
 Edge cases: null text or text without a letter gives `und` and 0; a null lang
 is never learned from; with no labelled row everything is `und`; equal sums
-fall to the alphabetically first label; repeated rows count each; other columns
-are not read.
+fall to the alphabetically first label; repeated rows count each; null doc_ids
+are sampled like one document; result names win over columns of the same name,
+unless they are not kept; other columns are not read.
 """
 
 from __future__ import annotations
@@ -179,31 +182,37 @@ class Model:
         return marginals(*forward_backward(e[back], self.trans, w.first))
 
 
-def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    langs, scores = [], []
+def with_letters(w: Words, blob: np.ndarray) -> np.ndarray:
+    """Whether each word holds a letter of any script; words without an ASCII letter are decoded, once each."""
+    ascii_letter = np.concatenate([[0], np.cumsum(((blob | 0x20) >= 0x61) & ((blob | 0x20) <= 0x7A))])
+    wide = np.concatenate([[0], np.cumsum(blob >= 0x80)])
+    out = ascii_letter[w.end] > ascii_letter[w.start]
+    ask = np.flatnonzero(~out & (wide[w.end] > wide[w.start]))
+    _, at, back = np.unique(w.hash[ask], return_index=True, return_inverse=True)
+    found = [any(c.isalpha() for c in blob[w.start[i] : w.end[i]].tobytes().decode("utf-8", "replace")) for i in ask[at].tolist()]
+    out[ask] = np.array(found, bool)[back]
+    return out
+
+
+def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and certainty of each text."""
+    langs, scores, certain = [], [np.zeros(0)], [np.zeros(0)]
     for i, j, blob, offsets in blobs(texts, 2 << 20):
-        letter = ((blob | 0x20) >= 0x61) & ((blob | 0x20) <= 0x7A)
-        maybe = letter | (blob >= 0x80)
-        some = np.concatenate([[0], np.cumsum(letter)])
-        has = some[offsets[1:]] > some[offsets[:-1]]
-        some = np.concatenate([[0], np.cumsum(maybe)])
-        for d in np.flatnonzero(~has & (some[offsets[1:]] > some[offsets[:-1]])):
-            has[d] = any(c.isalpha() for c in blob[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "replace"))
         if model is None:
             langs += [UNKNOWN] * (j - i)
-            scores += [0.0] * (j - i)
+            scores.append(np.zeros(j - i))
+            certain.append(np.zeros(j - i))
             continue
         w = Words(blob, offsets, lower=True)
-        counted = some[w.end] > some[w.start]
+        counted = with_letters(w, blob)
         p = model.label(w) * counted[:, None] if len(w.start) else np.zeros((0, len(model.labels)))
-        sums = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
-        total = sums[w.first[1:]] - sums[w.first[:-1]]
-        n = np.concatenate([[0], np.cumsum(counted)])
-        n = n[w.first[1:]] - n[w.first[:-1]]
-        best = total.argmax(axis=1)
-        langs += [model.labels[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
-        scores += np.where(has, np.clip(total.max(axis=1) / np.maximum(n, 1), 0, 1), 0.0).tolist()
-    return langs, np.array(scores)
+        of = lambda x: (lambda s: s[w.first[1:]] - s[w.first[:-1]])(np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)]))  # noqa: B023, E731
+        total, top, n = of(p), of(p.max(axis=1, keepdims=True))[:, 0], of(counted[:, None])[:, 0]
+        has = n > 0
+        langs += [model.labels[b] if h else UNKNOWN for b, h in zip(total.argmax(axis=1).tolist(), has.tolist(), strict=True)]
+        for out, x in ((scores, total.max(axis=1)), (certain, top)):
+            out.append(np.where(has, np.clip(x / np.maximum(n, 1), 0, 1), 0.0))
+    return langs, np.concatenate(scores), np.concatenate(certain)
 
 
 def training_sequences(rows: list[tuple[str, str]], labels: list[str], span_words: int, span: int = 30, seed: int = 11) -> list[list[tuple[bytes, int]]]:
@@ -234,16 +243,17 @@ def train(docs: DataFrame, usable: Column, per_lang: int = 300, span_words: int
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all by default), lang_pred string and score double."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    """The kept columns (all by default), lang_pred string, score double and certainty double."""
+    names = ("lang_pred", "score", "certainty")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches):
         for batch in batches:
-            langs, scores = predict(sent.value, batch.column(batch.schema.get_field_index("text")))
+            langs, scores, certain = predict(sent.value, batch.column(batch.schema.get_field_index("text")))
             out = {c: batch.column(batch.schema.get_field_index(c)) for c in keep}
-            yield pa.RecordBatch.from_pydict(out | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_pydict(out | dict(zip(names, (pa.array(langs, pa.string()), pa.array(scores), pa.array(certain)), strict=True)))
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, certainty double"])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

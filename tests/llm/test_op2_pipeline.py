@@ -81,3 +81,75 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def brute_groups(texts, least=0.8):
+    """Root of each text under links of five-word shingle Jaccard."""
+    import re
+
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if (not a and not b) or (a | b and len(a & b) >= least * len(a | b)):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def hostile_documents(spark, n=24):
+    """Documents with null and repeated ids, extra columns and near copies of 0.8 to 0.95."""
+    import random
+
+    rng = random.Random(9)
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 200 and 900 and lang is not null").orderBy("doc_id").limit(n).collect()
+    rows = []
+    for k, r in enumerate(some):
+        rows.append((None if k % 5 == 0 else k // 2, r.text, r.lang, r.source, r.n_chars, f"id{k}", 7.5, -7, k))
+        words = r.text.split()
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((100 + k, " ".join(words), r.lang, r.source, r.n_chars, f"near{k}", 7.5, -7, None))
+    rows += [(None, None, None, None, None, None, None, None, None), (3, "", "en", "s", 0, "x", 1.0, 1, 1), (4, "the of and to " * 20000, "en", "s", 0, "long", 1.0, 1, 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, score double, n_words long, `row` long")
+
+
+def test_stages_lose_no_rows_and_keep_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = hostile_documents(spark)
+    rows = docs.collect()
+    langs = corpus_pipeline.language_id(spark, docs, sf).collect()
+    assert {tuple(r) for r in langs} <= {tuple(r) for r in rows} and len(langs) >= len(rows) - 4
+    kept = corpus_pipeline.near_dedup(spark, docs, sf).collect()
+    root = brute_groups([r.text for r in rows])
+    assert len(kept) == len(set(root))
+    at = {tuple(r): k for k, r in enumerate(rows)}
+    assert {root[at[tuple(r)]] for r in kept} == set(root)
+    groups = [[rows[i] for i in range(len(rows)) if root[i] == g] for g in set(root)]
+    for own in groups:
+        ids = [r.doc_id for r in own if r.doc_id is not None]
+        stays = [r.doc_id for r in kept if r in own]
+        assert stays == [min(ids) if ids else None]
+    clean = corpus_pipeline.decontamination(spark, docs, sf).collect()
+    assert {tuple(r) for r in clean} <= {tuple(r) for r in rows} and len(clean) >= len(rows) // 2
+    masked = corpus_pipeline.personal_data(spark, docs, sf)
+    assert masked.columns == docs.columns and masked.count() == len(rows)
+    same = [c for c in docs.columns if c not in ("text", "n_chars")]
+    assert sorted(map(repr, masked.select(same).collect())) == sorted(map(repr, docs.select(same).collect()))
+    assert corpus_pipeline.packing(spark, docs, sf).where("piece = 0").count() == len(rows)
+
+
+def test_run_writes_stages_once_and_leaves_other_tables(spark, monkeypatch, tmp_path):
+    from markloom.llm import _store
+
+    other = _store.written(spark.range(3), "other")
+    calls = []
+    stages = [(n, lambda s, d, f, n=n, g=g: calls.append(n) or g(s, d, f)) for n, g in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    before = _store.made(spark)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 100 and calls == [n for n, _ in stages] and other.count() == 3
+    assert _store.made(spark) <= before + 8
