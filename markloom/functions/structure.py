@@ -1,4 +1,4 @@
-"""Reference blocks, ages and waiting times as column expressions; none of them shuffles."""
+"""Ages, waiting times and tiers as column expressions; none of them shuffles."""
 
 from __future__ import annotations
 
@@ -7,31 +7,6 @@ from pyspark.sql import Column, functions as F
 # Fixed values.
 LIMIT_MARGIN_S, MAX_LIMIT_WAIT_S = 90, 6 * 3600
 
-_DEFINITION = r"<ref\b[^>]*?(?<!/)>(?:(?!<ref\b).)*?</ref\s*>"
-_HEADING = r"^\s*=+[^=\n].*=+[ \t]*$"
-
-
-def is_reference_only(text: Column) -> Column:
-    """P22. Whether nothing but reference definitions, comments and list tags is left, and at least one definition is."""
-    rest = F.regexp_replace(text, f"(?is){_DEFINITION}", "")
-    rest = F.regexp_replace(F.regexp_replace(rest, r"(?s)<!--.*?-->", ""), r"(?i)</?references\b[^>]*>", "")
-    return text.rlike(f"(?is){_DEFINITION}") & ~rest.rlike(r"\S")
-
-
-def source_reference_block(source: Column, made: Column) -> Column:
-    """P26. Where the source is a heading with definitions only: the translated heading, if it is one, over the source's definitions."""
-    s, m = (F.regexp_replace(x, r"^\n+", "") for x in (source, made))
-    head, made_head = F.substring_index(s, "\n", 1), F.substring_index(m, "\n", 1)
-    rest = F.substring(s, F.length(head) + 1, F.length(s))
-    kept = F.contains(s, F.lit("\n")) & head.rlike(_HEADING) & is_reference_only(rest)
-    return F.when(kept, F.concat(F.when(made_head.rlike(_HEADING), made_head).otherwise(head), rest)).otherwise(made)
-
-
-def extended_references(text: Column) -> Column:
-    """R19. The closing tag of a reference list moves behind the definitions that follow it, comments between them included."""
-    return F.regexp_replace(text, rf"(?is)</references\s*>\s*((?:(?:\s*<!--.*?-->)*\s*{_DEFINITION})+)", "$1\n</references>")
-
-
 def age(born: Column, died: Column) -> Column:
     """R14. Years and days between two dates in words; a zero part is left out unless both are zero; 29 February counts as the 28th in common years."""
     md = lambda x: F.month(x) * 100 + F.dayofmonth(x)
@@ -41,15 +16,18 @@ def age(born: Column, died: Column) -> Column:
 
 
 def reset_wait(text: Column, now: Column) -> Column:
-    """Q07. Seconds until the time of day that ``resets h:mm am`` names, in the session's time zone, with the margin; null if none or over six hours."""
-    at = r"(?i)resets\s+(\d{1,2})(?::(\d{2}))?\s*(am|pm)"
-    hour, minute, half = (F.regexp_extract(text, at, i) for i in (1, 2, 3))
-    h = hour.try_cast("int")
-    day = F.unix_timestamp(F.date_trunc("day", now))
-    target = day + (h % 12 + F.when(F.lower(half) == "pm", 12).otherwise(0)) * 3600 + F.coalesce(minute.try_cast("int"), F.lit(0)) * 60
-    left = target - F.unix_timestamp(now)
-    wait = F.when(left <= 0, left + 86400).otherwise(left) + LIMIT_MARGIN_S
-    return F.when(h.between(1, 12) & (wait <= MAX_LIMIT_WAIT_S), wait)
+    """Q07. Seconds until the time of day behind ``resets``, with the margin; null without one or over six hours.
+
+    The time counts in the zone in brackets behind it (``(Europe/Berlin)``), in the session's where none is.
+    """
+    said = F.lower(F.regexp_extract(text, r"(?i)resets\s+([0-9:]+\s*[ap]m)", 1))
+    clock = F.replace(F.replace(said, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(""))
+    clock = F.when(F.contains(clock, F.lit(":")), clock).otherwise(F.regexp_replace(clock, "([ap])", ":00$1"))
+    zone = F.nullif(F.regexp_extract(text, r"(?i)resets\s+[0-9:]+\s*[ap]m\s*\(([A-Za-z]+/[A-Za-z_]+|UTC)\)", 1), F.lit(""))
+    here = F.coalesce(F.from_utc_timestamp(F.to_utc_timestamp(now, F.current_timezone()), zone), now)
+    at = F.try_to_timestamp(F.concat_ws(" ", F.date_format(here, "yyyy-MM-dd"), F.upper(clock)), F.lit("yyyy-MM-dd h:mma"))
+    ahead = F.pmod(F.unix_timestamp(at) - F.unix_timestamp(here) - 1, F.lit(86400)) + 1 + LIMIT_MARGIN_S
+    return F.when(ahead <= MAX_LIMIT_WAIT_S, ahead)
 
 
 def tier(text_is_complex: Column, model: Column, complex_model: Column) -> Column:

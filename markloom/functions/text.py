@@ -53,6 +53,9 @@ def same_article(source: Column, target: Column) -> Column:
     return (F.octet_length(target) / F.octet_length(source)).between(*SAME_ARTICLE)
 
 
-def page_language(html: Column) -> Column:
-    """R04. The html tag's lang in the first 5,000 characters, lower case, null where there is none."""
-    return F.nullif(F.lower(F.regexp_extract(F.substring(html, 1, 5000), r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1)), F.lit(""))
+def page_language(html: Column, header: Column | None = None) -> Column:
+    """R04. The Content-Language header's first value, else the html tag's lang in the first 5,000 characters; lower case, null where there is none."""
+    tag = F.regexp_extract(F.lower(F.substring(html, 1, 5000)), "<html([^>]*)>?", 1)
+    own = F.nullif(F.regexp_extract(F.concat(F.lit(" "), tag), "\\slang=[\"']?([a-z-]+)", 1), F.lit(""))
+    said = F.lower(F.trim(F.substring_index(header, ",", 1))) if header is not None else F.lit(None).cast("string")
+    return F.coalesce(F.nullif(said, F.lit("")), own)

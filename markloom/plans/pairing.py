@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import structure as S
-from ..operators import pairing as P
+from ..functions import structure as S, wiki as M
+from ..operators import pairing as P, wikitext as T
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -110,11 +110,11 @@ def q_spaced_headings(s, d):
 
 def q_reference_blocks(s, d):
     p = _t(s, d, "part", "p_partkey", f"{_BLOCK} AS x", f"{_MADE} AS y")
-    return p.select("p_partkey", S.is_reference_only(F.col("x")).alias("only"), S.source_reference_block(F.col("x"), F.col("y")).alias("text"))
+    return T.mapped(p, lambda x, y: (M.is_reference_only(x), M.source_reference_block(x, y)), "only boolean, text string", "x", "y").drop("x", "y")
 
 
 def q_extended_references(s, d):
-    return _t(s, d, "part", "p_partkey", f"{_TRAILING} AS x").select("p_partkey", S.extended_references(F.col("x")).alias("text"))
+    return T.mapped(_t(s, d, "part", "p_partkey", f"{_TRAILING} AS x"), lambda x: (M.extended_references(x),), "text string", "x").drop("x")
 
 
 def q_ages(s, d):
