@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from markloom.llm import crf_langid, skipchain_pii, winnow_decontam
 from markloom.llm.queries import held_out
@@ -145,11 +146,7 @@ def test_linear_time_on_long_runs():
 
 def test_distant_mentions_take_the_label_and_base_spans_stay(spark):
     train = [f"word call +1 ({i}34) 555-{i}{i}89 now or mail ab{i}cdef.12@mail.example.com from 10.0.{i}.7 card 4111111111111111 end room 12 in 2024" for i in range(1, 9)]
-    field = skipchain_pii.Field()
-    graph = skipchain_pii.Graph()
-    for d, t in enumerate(train):
-        graph.add(d, t, skipchain_pii.base_spans(t))
-    field.fit(graph)
+    field = skipchain_pii.fitted(train)
     text = "write to user77abc@mail.example.com today. " + "la " * 50 + "ask user77abc or room 15 in 2023."
     (base, every), (_, clean), (nothing, _) = skipchain_pii.find(field, [text, "room 15 in 2023, room 15", None])
     assert base == brute_base(text) and set(base) < set(every)
@@ -166,9 +163,67 @@ def test_distant_mentions_take_the_label_and_base_spans_stay(spark):
 def test_every_later_mention_hears_the_base_span():
     field = skipchain_pii.Field()
     field.unary[:, 0] = 0.25  # ten features: 2.5 against every label
+    field.pair[skipchain_pii.SKIP] = 6.9 * np.eye(5)
     for n in (1, 2, 5, 30):
         for place in (0, n // 2, n):
             words = ["ask user77abc again"] * n
             text = ". ".join([*words[:place], "write to user77abc@mail.example.com", *words[place:]])
             (base, every), = skipchain_pii.find(field, [text])
             assert len(base) == 1 and len(every) == 1 + n, (n, place)
+
+
+def test_beliefs_match_enumeration_on_trees():
+    rng = np.random.default_rng(3)
+    for trial in range(20):
+        field = skipchain_pii.Field()
+        field.unary[:] = rng.normal(size=field.unary.shape)
+        field.pair[:] = rng.normal(size=field.pair.shape)
+        graph, n = skipchain_pii.Graph(), 5
+        graph.spans = [(0, 0, 1)] * n
+        graph.feats = [rng.integers(0, skipchain_pii.FEATURES, 4).tolist() for _ in range(n)]
+        graph.gold = [0] * n
+        graph.gold[0] = 2 if trial % 2 else 0
+        graph.edges = [(int(rng.integers(0, i)), i, int(rng.integers(0, 2))) for i in range(1, n)]
+        ids, owner, gold, edges = graph.arrays()
+        unary = field.scores(ids, owner, n)
+        p = np.zeros((n, 5))
+        for labels in np.ndindex(*[5] * n):
+            if gold[0] and labels[0] != gold[0]:
+                continue
+            w = np.exp(sum(unary[i, y] for i, y in enumerate(labels)) + sum(field.pair[k, labels[a], labels[b]] for a, b, k in edges))
+            for i, y in enumerate(labels):
+                p[i, y] += w
+        assert np.allclose(field.beliefs(graph, settled=1e-9), p / p.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_learned_links_find_planted_repeats_and_no_decoys():
+    import duckdb
+
+    rows = duckdb.connect().execute("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()
+    texts = [t for (t,) in rows]
+    field = skipchain_pii.fitted([t for t in texts if re.search("[0-9@]", t)][:400])
+    assert all(field.pair[skipchain_pii.SKIP, k, k] > field.pair[skipchain_pii.SKIP, k, j] + 1 for k in range(5) for j in range(5) if j != k)
+    rng, hit, wrong = random.Random(8), 0, 0
+    plain = [t for t in texts if 300 < len(t) < 2000][:200]
+    for t in plain:
+        digits = "".join(str(rng.randrange(10)) for _ in range(8))
+        base, again = rng.choice([(f"+1 (2{digits[:2]}) 555-{digits[2:6]}", f"12{digits[:2]}555{digits[2:6]}"), (f"1{digits[:2]}.1{digits[2:4]}.1{digits[4:6]}.1{digits[6:]}", f"1{digits[:2]}-1{digits[2:4]}-1{digits[4:6]}-1{digits[6:]}")])
+        decoy = re.sub("[0-9]", lambda _: rng.choice("0123456789"), again)
+        words = t.split(" ")
+        for x in (base, again, decoy, decoy):
+            words.insert(rng.randrange(len(words)), x)
+        text = " ".join(words)
+        ((found, every),) = skipchain_pii.find(field, [text])
+        more = {text[a:b] for a, k, b in set(every) - set(found)}
+        hit += again in more
+        wrong += len(more - {again})
+    assert hit >= 0.9 * len(plain) and wrong <= 0.02 * len(plain)
+
+
+def test_repeated_rows_nulls_and_long_texts(spark):
+    field = skipchain_pii.fitted(["mail ab1cdef.12@mail.example.com"])
+    long = "la " * 60_000 + "x@y.org " + "77 " * 2000
+    docs = frame(spark, [None, "a x@y.org", "a x@y.org", long, ""]).withColumn("spans", F.lit("own"))
+    out = skipchain_pii.detect(docs, field).orderBy("doc_id").collect()
+    assert [r.n_email for r in out] == [0, 1, 1, 1, 0] and out[1].spans == out[2].spans == "email:2:9"
+    assert skipchain_pii.mask(docs, field).orderBy("doc_id").collect()[2].spans == "own"
