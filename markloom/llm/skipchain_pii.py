@@ -230,7 +230,7 @@ class Field:
     def scores(self, ids, owner, n: int) -> np.ndarray:
         return np.stack([np.bincount(owner, self.unary[ids, y], minlength=n) for y in range(self.unary.shape[1])], axis=1)
 
-    def fit(self, graph: Graph, steps: int = 400, rate: float = 1.0) -> Field:
+    def fit(self, graph: Graph, steps: int = 600, rate: float = 2.0) -> Field:
         """Pseudo-likelihood: each node given its neighbours' labels; AdaGrad, whole sample."""
         ids, owner, gold, edges = graph.arrays()
         n, k = len(gold), self.unary.shape[1]
@@ -307,7 +307,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def find(field: Field, texts: list[str | None], sure: float = 0.9) -> list[tuple[list, list]]:
+def find(field: Field, texts: list[str | None], sure: float = 0.8) -> list[tuple[list, list]]:
     """(base, all) spans of each text."""
     graph, base = Graph(), {}
     for d, text in enumerate(texts):

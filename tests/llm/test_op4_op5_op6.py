@@ -145,7 +145,7 @@ def test_linear_time_on_long_runs():
 
 
 def test_distant_mentions_take_the_label_and_base_spans_stay(spark):
-    train = [f"word call +1 ({i}34) 555-{i}{i}89 now or mail ab{i}cdef{".12" if i % 2 else ""}@mail.example.com from 10.0.{i}.7 card 4111111111111111 end room 12 in 2024" for i in range(1, 9)]
+    train = [f"word call +1 ({i}4) 555-{i}89 now or mail ab{i}cdef{".12" if i % 2 else ""}@mail.example.com from 10.0.{i}.7 card 4111111111111111 end room 12 in 2024" for i in range(10, 60)]
     field = skipchain_pii.fitted(train)
     text = "write to user77abc@mail.example.com today. " + "la " * 50 + "ask user77abc or room 15 in 2023."
     (base, every), (_, clean), (nothing, _) = skipchain_pii.find(field, [text, "room 15 in 2023, room 15", None])
