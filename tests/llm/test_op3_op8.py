@@ -72,10 +72,10 @@ def byte_texts():
     return texts
 
 
-@pytest.mark.parametrize("slot_bytes", [3000, 1 << 24])
-def test_byte_dedup_matches_brute_force(spark, slot_bytes):
+@pytest.mark.parametrize("slot_bytes, hot, block", [(3000, 50_000, 4096), (1 << 24, 50_000, 7), (1 << 24, 3, 4096), (3000, 0, 2)])
+def test_byte_dedup_matches_brute_force(spark, slot_bytes, hot, block):
     texts = byte_texts()
-    got = columnwise_suffix.deduplicate(frame(spark, texts).repartition(5), slot_bytes).collect()
+    got = columnwise_suffix.deduplicate(frame(spark, texts).repartition(5), slot_bytes, hot, block).collect()
     want = brute_bytes(texts)
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
     assert sum(0 < r[2] < r[1] for r in want) > 15
@@ -85,3 +85,27 @@ def test_byte_dedup_of_nothing(spark):
     assert columnwise_suffix.deduplicate(frame(spark, [])).count() == 0
     rows = spark.createDataFrame([(None, "q" * 100 + "é" * 100), (1, "q" * 100 + "é" * 100)], "doc_id long, text string")
     assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in columnwise_suffix.deduplicate(rows).collect()) == [(300, 300, 1)] * 2
+
+
+def test_transform_and_common_prefixes_match_sorting():
+    rng = random.Random(3)
+    for _ in range(30):
+        segments = ["".join(rng.choices("ab", k=rng.randrange(1, 12))).encode() for _ in range(rng.randrange(1, 9))]
+        c = columnwise_suffix.Collection(segments)
+        suffixes = sorted(((s[i:], k) for k, s in enumerate(segments) for i in range(len(s) + 1)), key=lambda x: x[0])
+        got = [(segments[k][len(segments[k]) - n :], int(k)) for k, n in zip(c.segment, c.length, strict=True)]
+        assert [x for x, _ in got] == [x for x, _ in suffixes] and sorted(got) == sorted(suffixes)
+        before = [segments[k][len(segments[k]) - n - 1] if n < len(segments[k]) else -1 for k, n in zip(c.segment, c.length, strict=True)]
+        assert c.transform.tolist() == before
+        same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert c.common.tolist() == [0, *(same(a[0], b[0]) for a, b in zip(got, got[1:], strict=False))]
+
+
+def test_hot_anchors_are_told_from_others():
+    from markloom.llm._exchange import message, unbits
+
+    import numpy as np
+
+    values = np.array([3, 9, 12], np.uint64)
+    out = columnwise_suffix.twice([message(values, 5, bytes([1, 2, 200])), message(values[2:], 5, bytes([100]))], 250)
+    assert unbits(out[0], 6).tolist() == [False, True, True, False, False, True]
