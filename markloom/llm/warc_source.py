@@ -3,9 +3,12 @@
 Writing: every task writes files of gzip members, one record each, and rolls
 over at ``max_file_bytes``.  Each member's gzip header carries the member's
 length in an extra field, so a reader steps over a member without inflating
-it.  Reading: one partition per file; record headers are inflated first, a
-record whose type or headers fail the pushed predicates is skipped, and a
-payload is inflated only if its column is read.
+it.  Reading: one partition per file; record headers are parsed first, a record
+whose type or headers fail the pushed predicates is skipped, and a payload is
+decoded only if its column is read.  Archives of others are read too: in plain
+``.warc`` files payloads are stepped over by their length; gzip files without
+the extra field, of one member or many, are inflated on the way but unwanted
+payloads are not kept.
 
 Revisits follow the archive rule: of records with equal payloads of at least
 ``least_bytes`` bytes the one with the largest page_id is the response and the
@@ -14,12 +17,19 @@ others refer to it; smaller payloads are always responses.
 Edge cases: a null html is an empty payload; a null url is an empty target;
 rows that repeat the response's page_id and payload are responses too; rows
 with a null page_id revisit whatever response there is, and are responses
-among themselves; an empty table gives an empty archive.
+among themselves; an empty table gives an empty archive.  Header names are read
+in any letter case; a record without a page id has a null one, one without a
+payload length has that of its block, and the payload of a foreign record is
+its whole block, HTTP head included.  A cut or broken file raises an error.  A
+failed job deletes what its attempts wrote.  Registering the source turns on
+filter pushdown for Python sources in the session.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import struct
 import uuid
 import zlib
@@ -82,20 +92,41 @@ def record(values: dict) -> bytes:
 
 def parse(head: bytes) -> dict:
     """The fields of a record's headers."""
-    found = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    out: dict = {field: found.get(name) for field, name in _HEADER.items()}
+    lines = head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
+    found = {k.strip().lower(): v.strip() for k, cut, v in (line.partition(":") for line in lines[1:]) if cut}
+    out: dict = {field: found.get(name.lower()) for field, name in _HEADER.items()}
     for field in ("page_id", "payload_bytes", "refers_to"):
-        out[field] = int(out[field]) if out[field] is not None else None
+        out[field] = int(out[field]) if (out[field] or "").lstrip("-").isdigit() else None
+    out["length"] = int(found.get("content-length", 0))
+    if out["payload_bytes"] is None:
+        out["payload_bytes"] = out["length"]
     if out["payload_digest"]:
         out["payload_digest"] = out["payload_digest"].removeprefix("sha1:")
     if out["record_id"]:
         out["record_id"] = out["record_id"].strip("<>")
-    out["length"] = int(found.get("Content-Length", 0))
     return out
 
 
-def records(stream, wanted, payloads: bool, stats: dict | None = None, step: int = 4096) -> Iterator[tuple[dict, bytes | None]]:
-    """(headers, payload or None) of the wanted records of a stream of members with length fields."""
+def records(stream, wanted, payloads: bool, stats: dict | None = None) -> Iterator[tuple[dict, bytes | None]]:
+    """(headers, payload or None) of the wanted records of an open archive of any of the three kinds."""
+    first = stream.read(20)
+    stream.seek(0)
+    if first[:4] == b"\x1f\x8b\x08\x04" and first[12:14] == b"ML":
+        found = _measured(stream, wanted, payloads)
+    elif first[:2] == b"\x1f\x8b":
+        found = _in_a_row(io.BufferedReader(gzip.GzipFile(fileobj=stream)), wanted, payloads)
+    else:
+        found = _in_a_row(io.BufferedReader(stream), wanted, payloads)
+    for fields, payload in found:
+        if stats is not None and payload is not None:
+            stats["payloads"] = stats.get("payloads", 0) + 1
+        yield fields, payload
+
+
+def _measured(stream, wanted, payloads: bool, step: int = 4096) -> Iterator[tuple[dict, bytes | None]]:
+    """Records of members with length fields."""
     at, end = 0, stream.size()
     while at < end:
         stream.seek(at)
@@ -104,7 +135,10 @@ def records(stream, wanted, payloads: bool, stats: dict | None = None, step: int
         z = zlib.decompressobj(-15)
         data, rest = z.decompress(first[20 : size - 8], step), 20 + step
         while b"\r\n\r\n" not in data:
-            data += z.decompress(z.unconsumed_tail or stream.read(min(step, size - 8 - rest)), step)
+            more = z.unconsumed_tail or stream.read(min(step, size - 8 - rest))
+            if not more:
+                raise EOFError("the archive ends inside a record's headers")
+            data += z.decompress(more, step)
             rest = min(size - 8, max(rest, stream.tell() - at))
         head, _, body = data.partition(b"\r\n\r\n")
         fields = parse(head)
@@ -112,12 +146,34 @@ def records(stream, wanted, payloads: bool, stats: dict | None = None, step: int
             if payloads:
                 stream.seek(at)
                 body = zlib.decompress(stream.read(size)[20 : size - 8], -15)[len(head) + 4 :]
-                if stats is not None:
-                    stats["payloads"] = stats.get("payloads", 0) + 1
             yield fields, body[: fields["length"]] if payloads else None
         at += size
 
 
+def _in_a_row(stream, wanted, payloads: bool, step: int = 1 << 16) -> Iterator[tuple[dict, bytes | None]]:
+    """Records one behind the other in a stream of bytes that can be read and sought forward."""
+    while True:
+        head = b""
+        while not head.endswith((b"\r\n\r\n", b"\n\n")):
+            line = stream.readline()
+            if not line:
+                if head.strip():
+                    raise EOFError("the archive ends inside a record's headers")
+                return
+            head = head + line if head or line.strip() else b""
+        fields = parse(head)
+        left = fields["length"]
+        if wanted(fields) and payloads:
+            body = stream.read(left)
+            if len(body) < left:
+                raise EOFError("the archive ends inside a payload")
+            yield fields, body
+            continue
+        if wanted(fields):
+            yield fields, None
+        stream.seek(left, 1)
+
+
 @dataclass
 class WarcFile(InputPartition):
     path: str
@@ -141,7 +197,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, root = filesystem(self.path)
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
-        return [WarcFile(x.path) for x in found if x.is_file and x.path.endswith(".warc.gz")] or [WarcFile("")]
+        return [WarcFile(x.path) for x in found if x.is_file and x.path.endswith((".warc.gz", ".warc"))] or [WarcFile("")]
 
     def read(self, partition: WarcFile) -> Iterator[tuple]:
         if not partition.path:
@@ -193,10 +249,10 @@ class WarcWriter(DataSourceWriter):
                 fs.delete_file(x.path)
 
     def abort(self, messages) -> None:
-        fs, _ = filesystem(self.path)
-        for m in messages:
-            for f in m.files if m is not None else ():
-                fs.delete_file(f)
+        fs, root = filesystem(self.path)
+        for x in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if x.base_name.startswith(self.job):
+                fs.delete_file(x.path)
 
 
 class WarcDataSource(DataSource):
@@ -218,7 +274,8 @@ class WarcDataSource(DataSource):
 
 def registered(spark: SparkSession) -> SparkSession:
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled") != "true":
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
 

@@ -59,6 +59,41 @@ def test_empty_archive(spark, tmp_path):
     assert warc_source.read(spark, str(tmp_path / "c")).count() == 0
 
 
+def foreign(i, body, kind="response"):
+    return f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Target-URI: http://x/{i}\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Type: application/http; msgtype={kind}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def test_foreign_archives(spark, tmp_path):
+    bodies = [b"HTTP/1.1 200 OK\r\n\r\nWARC/1.0\r\n\r\n" + bytes([i]) * (i * 5000) for i in range(6)]
+    parts = [foreign("info", b"software: x\r\n", "warcinfo"), *(foreign(i, b) for i, b in enumerate(bodies))]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    rows = warc_source.read(spark, str(tmp_path)).collect()
+    assert sorted((r.record_type, r.url, r.page_id) for r in rows) == sorted([("warcinfo", "http://x/info", None), *(("response", f"http://x/{i}", None) for i in range(6))] * 3)
+    assert sorted(bytes(r.payload) for r in rows if r.record_type == "response") == sorted(bodies * 3)
+    assert all(r.payload_bytes == len(r.payload) and r.record_id.startswith("urn:") for r in rows)
+    assert [r.payload_bytes for r in warc_source.read(spark, str(tmp_path), payloads=False).where("url = 'http://x/3'").collect()] == [len(bodies[3])] * 3
+
+
+def test_cut_archives_raise(tmp_path):
+    import pyarrow as pa
+
+    data = foreign(1, b"q" * 100)
+    for cut in (40, len(data) - 30):
+        with pytest.raises(EOFError):
+            list(warc_source.records(pa.BufferReader(data[:cut]), lambda x: True, True))
+    with pytest.raises(ValueError):
+        list(warc_source.records(pa.BufferReader(b"<html>\n\n"), lambda x: True, True))
+
+
+def test_failed_jobs_leave_no_files(spark, tmp_path):
+    rows = spark.range(40, numPartitions=4).selectExpr("id AS page_id", "'response' AS record_type", "'u' AS url", "'r' AS record_id", "'d' AS payload_digest", "1L AS payload_bytes", "CAST(null AS long) AS refers_to", "CASE WHEN id = 35 THEN CAST(raise_error('no') AS binary) ELSE CAST('x' AS binary) END AS payload")
+    with pytest.raises(Exception, match="no"):
+        warc_source.registered(spark).createDataFrame(rows.rdd, rows.schema).write.format("warc").option("path", str(tmp_path / "d")).mode("append").save()
+    assert list((tmp_path / "d").glob("*")) == [] if (tmp_path / "d").exists() else True
+
+
 def brute_sets(text):
     w = [x for x in re.sub(r"[\x00-\x20!-/:-@\[-`{-~]+", " ", text.lower()).strip(" ").split(" ") if x]
     stop, out = set(spotsigs.ANCHORS), set()
