@@ -10,7 +10,7 @@ from .fixtures import frame, hostile
 
 
 def brute(texts, quality):
-    """Plain counting; buckets are wide enough here that no two events meet."""
+    """Plain counting."""
     docs = [["", *(t or "").lower().split()] for t in texts]
 
     def model(chosen):
@@ -22,7 +22,7 @@ def brute(texts, quality):
             before.update(d[:-1])
         return one, pair, before
 
-    size, out = 1 << lm_score.WORD_BITS, []
+    size, out = len({w for d in docs for w in d[1:]}), []
     every, target = range(len(docs)), [i for i in range(len(docs)) if quality.get(i) == 1]
     scale = sum(model(target)[0].values()) / sum(model(every)[0].values())
     for i, d in enumerate(docs):
@@ -38,15 +38,30 @@ def brute(texts, quality):
     return out
 
 
-def test_scores_match_plain_counting(spark):
-    texts = [t and t.replace("É", "é").replace("Ü", "ü") for t in hostile(31, 30)][:-1]
+@pytest.mark.parametrize("slot_bytes", [500, 16 << 20])
+def test_scores_match_plain_counting(spark, slot_bytes):
+    texts = [t and t.replace("É", "é").replace("Ü", "ü") for t in hostile(31, 30)]
     quality = {i: int(i % 3 != 0) for i in range(0, len(texts), 2)}
     labels = spark.createDataFrame([(i, q, 0) for i, q in quality.items()] + [(2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = lm_score.score(frame(spark, texts), labels).orderBy("doc_id").collect()
+    got = lm_score.score(frame(spark, texts).repartition(3), labels, slot_bytes).orderBy("doc_id").collect()
     for r, want in zip(got, brute(texts, quality), strict=True):
         assert (r.n_words, r.loss_target, r.loss_background, r.score) == pytest.approx(want), r.doc_id
 
 
+def test_counts_grow_with_the_corpus_and_copies_score_apart(spark):
+    import random
+
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(120)]
+    texts += texts[:20]
+    rows = lm_score.labelled(frame(spark, texts), spark.createDataFrame([(i, 1, 0) for i in range(40, 80)], "doc_id long, quality int, toxic int"))
+    sizes = [lm_score.totals_of(rows.where(f"doc_id < {n}"), 1000)[1].selectExpr("sum(words)", "sum(mass)").first() for n in (30, 60, 120, 140)]
+    assert [tuple(x) for x in sizes] == [(len({w for t in texts[:n] for w in t.split()}), 40 * n) for n in (30, 60, 120, 140)]
+    got = lm_score.score(frame(spark, texts), spark.createDataFrame([(i, 1, 0) for i in range(40, 80)], "doc_id long, quality int, toxic int")).collect()
+    twice = [r.score for r in got if r.doc_id < 20 or r.doc_id >= 120]
+    assert min(twice) > max(r.score for r in got if 80 <= r.doc_id < 120)
+
+
 def test_scores_without_target_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in lm_score.score(frame(spark, ["a b", None]), none).collect()} == {0.0}
