@@ -136,6 +136,8 @@ def test_edited_likeness_matches_brute_force(spark, step):
         assert r.near_edited == pytest.approx(jaccard(brute_sets(t), brute_sets(edited))), d
         assert r.near_next == pytest.approx(jaccard(brute_sets(t), brute_sets(nxt))), d
         assert (r.fingerprint == r.edited_fingerprint) == (brute_sets(t) == brute_sets(edited))
+        sets = [{x[i : i + 8] for i in range(0, len(x), 8)} for x in (r.fingerprint, r.edited_fingerprint)]
+        assert r.near_edited == pytest.approx(jaccard(*sets))
     same = {}
     for d, t in enumerate(texts):
         assert same.setdefault(t or "", got[d].fingerprint) == got[d].fingerprint
@@ -149,6 +151,24 @@ def test_one_row_nulls_and_nothing(spark):
     assert spotsigs.edited_likeness(rows).count() == 3
 
 
+@pytest.mark.parametrize("ranges", [4, 256])
+def test_hot_and_null_ids_follow_the_stated_order(spark, ranges):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, 7, 7, 7, rng.randrange(10**12)]), " ".join(rng.choices("the of a b c d e".split(), k=rng.randrange(8)))) for _ in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    order = sorted(keyed, key=lambda r: (-(r.doc_id if r.doc_id is not None else -(2**63)), -r.h, r.text))
+    want = []
+    for k, r in enumerate(order):
+        nxt = order[(k + 1) % len(order)].text
+        half = len(r.text) // 2
+        want.append((r.doc_id, r.text and len(r.text), hashlib.sha256((r.text[: len(r.text) - half] + nxt[:half]).encode()).hexdigest()))
+    ordered = spotsigs.in_order(docs, ranges)
+    assert ordered.where("guest = 1").count() == ordered.select("bucket").distinct().count() > min(3, ranges)
+    got = [(r.doc_id, r.n_chars or "", r.edited_sha256) for r in spotsigs.edited_likeness(docs, ranges).collect()]
+    assert sorted(got, key=repr) == sorted(((i, n or "", x) for i, n, x in want), key=repr)
+
+
 def test_near_pairs_match_brute_force(spark):
     texts = [*hostile(13, 40)]
     texts += [" ".join([*(t or "x").split(" ")[:-1], "new"]) for t in texts[8:40]]
