@@ -102,14 +102,14 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def rolling(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the k words from each word on, and whether they lie in one document."""
+    def rolling(self, k: int, roll: np.uint64 = _ROLL) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the k words from each word on, and whether they lie in one document; another ``roll`` gives another hash."""
         n = len(self.hash)
         m = max(0, n - k + 1)
         out = np.zeros(m, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for j in range(k):
-                out = out * _ROLL + self.hash[j : j + m]
+                out = out * roll + self.hash[j : j + m]
         d = self.doc()
         return mix(out), d[:m] == d[k - 1 : k - 1 + m] if m else np.zeros(0, bool)
 

@@ -8,12 +8,14 @@ runs of words in which every seven-word window is shared, and the 13-word
 windows of those runs are settled by the smallest doc_id that has them.
 
 A batch of documents asks with each hash once, so passages in a third of all
-documents cost one entry per batch.  Windows are told apart by 64-bit hashes
-inside slots dealt by the same hash.
+documents cost one entry per batch.  Blocks only pick candidates; windows are
+told apart by two hashes of 64 bits over their words' hashes, so that words of
+other texts are not moved.
 
 Edge cases: null text has no words; a null doc_id counts as larger than any,
-so such a row never outranks another; rows of equal doc_id do not remove each
-other's words; windows are judged on the input; other columns are not read.
+so such a row never outranks another (2^63-1 is read and given back as null);
+doc_ids are whole numbers; rows of equal doc_id do not remove each other's
+words; windows are judged on the input; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from ._text import Words, blobs
 WINDOW, BLOCK = 13, 7
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _SHORT = np.uint64(24)
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 class Batch:
@@ -44,12 +47,13 @@ class Batch:
         seven = [w.rolling(BLOCK) for _, w in parts]
         n = self.first[-1]
         self.seven, self.one = np.zeros(n, np.uint64), np.zeros(n, bool)
-        self.wide, self.whole = np.zeros(n, np.uint64), np.zeros(n, bool)
+        self.wide, self.other, self.whole = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, bool)
         at = 0
         for (_, w), (h, ok) in zip(parts, seven, strict=True):
             self.seven[at : at + len(h)], self.one[at : at + len(h)] = h, ok
             h, ok = w.rolling(WINDOW)
             self.wide[at : at + len(h)], self.whole[at : at + len(h)] = h, ok
+            self.other[at : at + len(h)] = w.rolling(WINDOW, _OTHER)[0]
             at += len(w.start)
         self.doc = np.repeat(np.arange(len(count)), count)
         self.slots = np.uint64(slots - 1)
@@ -79,11 +83,14 @@ class Batch:
         return at[(every[at + k] - every[at] == k) & (some[at + k] > some[at])]
 
     def windows(self, at: np.ndarray):
-        """(slot, values, smallest doc_id here, positions, which) of candidate windows."""
-        h, owner = self.wide[at], self.ids[self.doc[at]]
+        """(slot, values, other values, smallest doc_id here, positions, which) of candidate windows."""
+        h, other, owner = self.wide[at], self.other[at], self.ids[self.doc[at]]
         for slot, part in by_slot(h, (h & self.slots).astype(np.int64)):
-            values, begin, which = np.unique(h[part], return_index=True, return_inverse=True)
-            yield slot, values, np.minimum.reduceat(owner[part], begin), at[part], which
+            part = part[np.lexsort((other[part], h[part]))]
+            first = np.ones(len(part), bool)
+            first[1:] = (np.diff(h[part]) != 0) | (np.diff(other[part]) != 0)
+            begin = np.flatnonzero(first)
+            yield slot, h[part[begin]], other[part[begin]], np.minimum.reduceat(owner[part], begin), at[part], np.cumsum(first) - 1
 
 
 def shared_blocks(bodies: list[bytes]) -> list[bytes]:
@@ -107,9 +114,11 @@ def smaller_elsewhere(bodies: list[bytes]) -> list[bytes]:
     """Masks: has another batch the window in a document of smaller doc_id."""
     got = [opened(b, 8) for b in bodies]
     values = np.concatenate([v for v, _ in got])
-    least = np.concatenate([np.frombuffer(m[0], "<i8") for _, m in got])
-    order = np.argsort(values, kind="stable")
-    begin = np.flatnonzero(np.diff(values[order], prepend=~values[order[:1]]))
+    least, other = (np.concatenate([np.frombuffer(m[i], kind) for _, m in got]) for i, kind in ((0, "<i8"), (1, "<u8")))
+    order = np.lexsort((other, values))
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(values[order]) != 0) | (np.diff(other[order]) != 0)
+    begin = np.flatnonzero(first)
     low = np.minimum.reduceat(least[order], begin)
     of = np.empty(len(values), np.int64)
     of[order] = np.repeat(low, np.diff(np.append(begin, len(values))))
@@ -131,14 +140,14 @@ def deduplicate(docs: DataFrame, slot_bytes: int = 16 << 20) -> DataFrame:
 
     def settle(ids, texts, masks):
         b = Batch(ids, texts, slots)
-        for slot, values, least, _, _ in b.windows(b.candidates(masks[0])):
-            yield slot, message(values, 8, least.astype("<i8").tobytes())
+        for slot, values, other, least, _, _ in b.windows(b.candidates(masks[0])):
+            yield slot, message(values, 8, least.astype("<i8").tobytes(), other.astype("<u8").tobytes())
 
     def cut(rows):
         for _, ids, texts, (first, second) in each_batch(rows):
             b = Batch(ids, texts, slots)
             cover = np.zeros(len(b.doc) + WINDOW, np.int64)
-            for slot, values, least, at, which in b.windows(b.candidates(first)):
+            for slot, values, _, least, at, which in b.windows(b.candidates(first)):
                 gone = unbits(second[slot], len(values))[which] | (least[which] < ids[b.doc[at]])
                 np.add.at(cover, at[gone], 1)
                 np.add.at(cover, at[gone] + WINDOW, -1)
