@@ -46,10 +46,10 @@ def assemble(chunks: DataFrame) -> DataFrame:
     """K01. chunks (article, ord, text): 1-based inclusive line spans in the ordered concatenation.
 
     A newline joins two chunks only if both have text and neither has one at
-    the joint; an empty chunk ends before it starts.
+    the joint; an empty or null chunk ends before it starts.
     """
     return _sql(
-        """WITH a AS (SELECT article, ord, text, last_value(nullif(text, ''), true) OVER (PARTITION BY article ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {chunks}),
+        """WITH a AS (SELECT article, ord, coalesce(text, '') AS text, last_value(nullif(text, ''), true) OVER (PARTITION BY article ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {chunks}),
         b AS (SELECT article, ord, text, CASE WHEN text <> '' AND before IS NOT NULL AND right(before, 1) <> '\\n' AND left(text, 1) <> '\\n' THEN 1 ELSE 0 END AS joint, length(text) - length(replace(text, '\\n', '')) AS breaks FROM a),
         c AS (SELECT *, sum(joint + breaks) OVER (PARTITION BY article ORDER BY ord ROWS UNBOUNDED PRECEDING) AS total FROM b)
         SELECT article, ord, CAST(1 + total - breaks AS BIGINT) AS first_line,
@@ -89,10 +89,13 @@ def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def resolve_cached(wanted: DataFrame, cache: DataFrame, live: DataFrame) -> DataFrame:
-    """J02. wanted (k): value from live where it has one, else from cache; checked tells a known null from an unchecked key."""
+    """J02. wanted (k): value from live where it has one, else from cache; checked tells a known null from an unchecked key.
+
+    Of several rows of a key the largest value counts, null only if there is no other.
+    """
     return _sql(
         """SELECT w.k, CASE WHEN l.k IS NOT NULL THEN l.v ELSE c.v END AS v, (l.k IS NOT NULL OR c.k IS NOT NULL) AS checked
-        FROM (SELECT DISTINCT k FROM {wanted}) w LEFT JOIN {cache} c ON w.k = c.k LEFT JOIN {live} l ON w.k = l.k""",
+        FROM (SELECT DISTINCT k FROM {wanted}) w LEFT JOIN (SELECT k, max(v) AS v FROM {cache} GROUP BY k) c ON w.k = c.k LEFT JOIN (SELECT k, max(v) AS v FROM {live} GROUP BY k) l ON w.k = l.k""",
         wanted=wanted,
         cache=cache,
         live=live,

@@ -20,7 +20,7 @@ def _fields(fields: str) -> list[tuple[str, pa.DataType]]:
 
 def _inputs(batch: pa.RecordBatch, names: list[str]):
     columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-    return zip(*([("" if v is None and pa.types.is_string(c.type) else v) for v in c.to_pylist()] for c in columns), strict=True)
+    return zip(*([("" if v is None and pa.types.is_string(c.type) else v) for v in c.to_pylist()] for c in columns), strict=True)  # lists and numbers keep their nulls
 
 
 def mapped(df: DataFrame, fn: Callable[..., tuple], fields: str, *inputs: str) -> DataFrame:

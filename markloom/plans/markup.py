@@ -126,10 +126,6 @@ def q_reviewed_lines(s, d):
     return _t(s, d, "events", "event_id", "event_type", f"{_LINE} AS x").select("event_id", M.marked_reviewed(F.col("x"), F.col("event_type")).alias("line"))
 
 
-def q_sibling_links(s, d):
-    return _t(s, d, "documents", "doc_id", f"{_TEXT} AS x").select("doc_id", F.array_join(F.slice(F.split("x", " "), 1, M.SIBLING_LINKS), "|").alias("links"))
-
-
 def q_language_breakdown(s, d):
     return R.language_breakdown(_t(s, d, "documents", "lang || ', ,' || source || ',' || lang AS langs"))
 
@@ -219,7 +215,6 @@ ORACLE_SQL = {
     "progress": "SELECT event_id, CASE WHEN d > 0 AND value > 0 THEN (100 - d) * value / d END AS eta, d = 100 OR d % 10 = 0 AS milestone FROM (SELECT *, event_id % 101 AS d FROM events)",
     "retries": "SELECT event_id, least(pow(2, event_id % 10), 60)::DOUBLE AS wait, event_id % 4 = 2 OR (event_id % 4 = 1 AND event_id % 3 > 0) AS again FROM events",
     "reviewed_lines": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'u' || chr(9) || 'DONE' || chr(9) || 'm@p' || chr(9) || 'review=' || event_type WHEN 1 THEN 'u' || chr(9) || 'DONE' || chr(9) || 'review=' || event_type ELSE 'u' || chr(9) || 'FAILED' END AS line FROM events",
-    "sibling_links": f"SELECT doc_id, array_to_string(string_split({_TEXT}, ' ')[1:80], '|') AS links FROM documents",
     "language_breakdown": "SELECT lang, count(*) AS n FROM (SELECT trim(unnest(string_split(lang || ', ,' || source || ',' || lang, ','))) AS lang FROM documents) WHERE lang <> '' GROUP BY lang",
     "footnotes": """SELECT article, pos, first, ps IS DISTINCT FROM first AS changed FROM (SELECT user_id AS article, event_id AS pos, ps, first_value(ps) OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id) AS first
       FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN event_type END AS ps FROM events))""",
