@@ -330,10 +330,14 @@ def fitted(texts: list[str]) -> Field:
 
 
 def train(docs: DataFrame, sample: int = 400) -> Field:
-    """Fits on the ``sample`` documents of smallest hash that hold a digit or at sign; one scan, no more than SAMPLE_CHARS characters of each."""
-    key = F.xxhash64(F.lit("pii"), F.col("doc_id"), F.col("text"))
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(key.alias("key"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    return fitted([r.text for r in some.orderBy("key", "text").limit(sample).collect()])
+    """Fits on the documents of the ``sample`` smallest hashes among those with a digit or at sign, no more than SAMPLE_CHARS characters of each.
+
+    Tasks send hashes first, and then the chosen texts only; equal rows are one.
+    """
+    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64(F.lit("pii"), F.col("doc_id"), F.col("text")).alias("key"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    chosen = [r.key for r in some.select("key").orderBy("key").limit(sample).collect()]
+    texts = {r.key: r.text for r in some.where(F.col("key") <= chosen[-1]).dropDuplicates(["key"]).collect()} if chosen else {}
+    return fitted(list(texts.values()))
 
 
 def _mapped(docs: DataFrame, field: Field, keep: list[str], extra: str, columns) -> DataFrame:
