@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import engine as E, relational as R, stores as S
+from ..operators import articles as A, engine as E, relational as R, stores as S
 from ..sources import files
 
 
@@ -145,11 +145,38 @@ def q_review_rounds(s, d):
     return E.review_rounds(state, ("faults", _local(_faults)), ("mend", _local(_mend)))[0].select("article", "ord", "made")
 
 
+_ARTICLE = "'Lead ' || p_brand || '.' || chr(10) || '== ' || p_name || ' ==' || chr(10) || '{{nls|' || p_size || '}} {{r|name=' || p_brand || '|ref=x}}' || chr(10)"
+_SAVED = "'Lead ' || CASE WHEN p_size % 3 = 0 THEN 'bad ' ELSE '' END || p_brand || chr(10) || '== ' || p_name || ' ==' || chr(10) || 'x' || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || '<!--' || chr(10) || 'NUK ËSHTË PJESË bad' ELSE '' END"
+
+
+def q_expanded_templates(s, d):
+    wiki = lambda lang: A.LocalWiki({"box": "<{{{1}}}/{{{x|none}}}>", "outer": "{{box|{{{1}}}|x=o}}"})
+    return A.expanded(_t(s, d, "part", "p_partkey AS article", "'{{Box|' || p_brand || CASE WHEN p_size % 2 = 0 THEN '|x=' || p_size ELSE '' END || '}} {{outer|' || p_name || '}} {{other}}' AS text"), wiki, "sq")
+
+
+def q_planned(s, d):
+    return A.planned(_t(s, d, "part", "p_partkey AS article", f"{_ARTICLE} AS text"), 1, 40).select("article", "ord", "section", "text", "is_complex")
+
+
+def q_processed(s, d):
+    store = s.createDataFrame([], "k string, v string")
+    articles = _t(s, d, "part", "p_partkey AS article", "'Lead ' || p_brand || '.' || chr(10) || '== ' || p_name || ' ==' || chr(10) || CASE WHEN p_size % 3 = 0 THEN 'a [[b' ELSE 'c' END AS text").where("p_partkey % 2 = 0")
+    return A.processed(articles, store, "closed", _local(_closed), 1, 60)
+
+
+def q_rereviewed(s, d):
+    return A.rereviewed(_t(s, d, "part", "p_partkey AS article", f"{_SAVED} AS text"), ("faults", _local(_faults)), ("mend", _local(_mend)))
+
+
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 _SHOWN = "CASE WHEN turn % 3 = 1 THEN '<!-- pending: ' || role || ' (pending) -->' ELSE coalesce(text, '') END"
 
 ORACLE_SQL = {
+    "expanded_templates": """SELECT p_partkey AS article, '<' || p_brand || '/' || CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'none' END || '> <' || p_name || '/o> {{other}}' AS text FROM part""",
+    "planned": """SELECT p_partkey AS article, unnest([0, 1])::BIGINT AS ord, unnest(['Lead', p_name]) AS section, unnest(['Lead ' || p_brand || '.' || chr(10), '== ' || p_name || ' ==' || chr(10) || '{{notelist|' || p_size || '}} <ref name="' || p_brand || '">x</ref>' || chr(10)]) AS text, unnest([false, true]) AS is_complex FROM part""",
+    "processed": """SELECT p_partkey AS article, 'Lead ' || p_brand || '.' || chr(10) || '== ' || p_name || ' ==' || chr(10) || CASE WHEN p_size % 3 = 0 THEN 'a [[b]]' ELSE 'c' END AS text, CAST(0 AS BIGINT) AS findings FROM part WHERE p_partkey % 2 = 0""",
+    "rereviewed": """SELECT p_partkey AS article, CASE WHEN p_size % 3 = 0 THEN regexp_replace(x, 'bad', 'good') ELSE x END AS text, p_size % 3 = 0 AS changed FROM (SELECT *, 'Lead ' || CASE WHEN p_size % 3 = 0 THEN 'bad ' ELSE '' END || p_brand || chr(10) || '== ' || p_name || ' ==' || chr(10) || 'x' || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || '<!--' || chr(10) || 'NUK ËSHTË PJESË bad' ELSE '' END AS x FROM part)""",
     "row_count": "SELECT count(*) AS n FROM customer",
     "recached": "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS v, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS created FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 2 = 0",
     "merged_usage": "SELECT event_type AS model, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens, round(sum(value), 4) AS cost FROM events GROUP BY event_type",

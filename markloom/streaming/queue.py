@@ -6,6 +6,8 @@ a window until no late row can reach it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 LATE = "10 minutes"
@@ -25,3 +27,23 @@ def usage_windows(usage: DataFrame, width: str = "1 hour", late: str = LATE) ->
     """A01 on a stream. usage (model, ts, tokens): calls and tokens of each model by window of event time."""
     w = usage.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "model")
     return w.agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens")).select("w.start", "model", "calls", "tokens")
+
+
+def drained(items: DataFrame, handle: Callable[[DataFrame], DataFrame], answers: str, checkpoint: str) -> None:
+    """Q01. Takes what the queue holds now, batch by batch, and appends handle's answers to a folder; returns when it is empty.
+
+    items is a stream (article, ...); handle takes a batch, each article once, and returns (article, ok).  A batch that
+    raises is answered with ok = false for all of its articles.  The source's own limit (maxFilesPerTrigger) bounds a
+    batch.  A restart goes on behind the last finished batch, and a batch has its own folder, so it is written once.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        own = batch.dropDuplicates(["article"])
+        path = f"{answers}/batch={number}"
+        try:
+            handle(own).select("article", "ok").write.mode("overwrite").parquet(path)
+        except Exception:  # a failing engine answers for its batch, the queue goes on
+            own.select("article", F.lit(False).alias("ok")).write.mode("overwrite").parquet(path)
+
+    query = items.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
