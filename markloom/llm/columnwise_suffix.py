@@ -7,7 +7,8 @@ the smallest-hashed 100-byte gram inside; equal windows have equal anchors at
 equal places.  Batches ask which anchors occur twice, and neighbouring windows
 of one repeated anchor become a segment of at most 300 bytes, dealt by its
 anchor.  In a slot, segments without a window whose hash another one has are
-done; the others are the documents of collections of at most BLOCK segments.
+done; the others are the documents of collections of at most BLOCK segments,
+whole anchors each.
 
 A collection's Burrows-Wheeler transform and common-prefix array grow by one
 symbol per segment each round, from the segments' ends: a sequential pass over
@@ -191,59 +192,64 @@ def twice(bodies: list[bytes], hot: int = HOT) -> list[bytes]:
 class Collection:
     """The Burrows-Wheeler transform, common prefixes (up to 255) and suffixes of a block of segments, one column a round.
 
-    The transform holds the symbol before each suffix, -1 before a whole segment.
+    The transform holds the symbol before each suffix, -1 before a whole segment; while it grows, symbols are numbered
+    from 1 in their order, and 0 stands before whole segments.
     """
 
     def __init__(self, segments: list[bytes]):
         n = len(segments)
         size = np.array([len(x) for x in segments], np.int64)
-        flat = np.frombuffer(b"".join(segments), np.uint8).astype(np.int16)
-        end = np.cumsum(size)
-        self.transform = np.full(n, -2, np.int16)
+        raw = np.frombuffer(b"".join(segments), np.uint8)
+        used = np.flatnonzero(np.bincount(raw, minlength=256))
+        number = np.zeros(256, np.uint8 if len(used) < 255 else np.int16)
+        number[used] = np.arange(1, len(used) + 1)
+        flat, end = number[raw], np.cumsum(size)
+        self._symbols = np.zeros(n, number.dtype)
         self.common = np.zeros(n, np.uint8)
-        self.segment, self.length = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+        self._suffix = np.arange(n, dtype=np.int32) << 10  # segment and length
         newest = np.arange(n)  # places of the suffixes inserted last
         for t in range(int(size.max(initial=0)) + 1):
-            own = self.segment[newest]
+            own = self._suffix[newest] >> 10
             more = size[own] > t
-            self.transform[newest] = np.where(more, flat[np.maximum(end[own] - 1 - t, 0)], -1)
+            self._symbols[newest] = np.where(more, flat[np.maximum(end[own] - 1 - t, 0)], 0)
             if more.any():
-                newest = self._insert(newest[more], own[more], t + 1, n)
-
-    def _insert(self, before: np.ndarray, own: np.ndarray, length: int, n: int) -> np.ndarray:
-        order = np.argsort(self.transform, kind="stable")
-        ended = int((self.transform < 0).sum())
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - ended + n
-        place = rank[before]
-        new = np.zeros(len(self.transform) + len(place), bool)
-        new[place] = True
-        old_common = self.common
-        self.transform, self.common, self.segment, self.length = (self._spread(x, new) for x in (self.transform, self.common, self.segment, self.length))
-        self.transform[place], self.segment[place], self.length[place] = -2, own, length
+                newest = self._insert(newest[more], n)
+        self.segment, self.length = self._suffix >> 10, self._suffix & 0x3FF
+        self.transform = np.concatenate([[-1], used])[self._symbols]
+
+    def _insert(self, before: np.ndarray, n: int) -> np.ndarray:
+        """Inserts the suffixes one symbol longer than those at ``before``; their places, in order."""
+        symbols, common, suffix = self._symbols, self.common, self._suffix
+        order = np.argsort(symbols, kind="stable")
+        ended = len(symbols) - int(np.count_nonzero(symbols))
+        chosen = np.zeros(len(symbols), bool)
+        chosen[before] = True
+        rank = np.flatnonzero(chosen[order])
+        place = rank - ended + n
+        size = len(symbols) + len(place)
+        source = np.ones(size, np.int64)
+        source[place] = 0
+        np.cumsum(source, out=source)
+        source -= 1
+        source[place] = len(symbols) + np.arange(len(place))
+        more = suffix[order[rank]] + 1
+        none = np.zeros(len(place), np.uint8)
+        self._symbols, self.common, self._suffix = (np.take(np.concatenate([x, y.astype(x.dtype)]), source) for x, y in ((symbols, none), (common, none), (suffix, more)))
         look = np.unique(np.concatenate([place, place + 1]))
-        look = look[(look > n) & (look < len(new))]
-        self.common[place] = 0
+        look = look[(look > n) & (look < size)]
         k = look - n + ended
         p, q = order[k], order[k - 1]
-        same = self.transform_before[p] == self.transform_before[q]
+        same = symbols[p] == symbols[q]
         self.common[look[~same]] = 0
         p, q, look = p[same], q[same], look[same]
         step = np.cumsum(p - q)
         for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(step >> 22)) + 1) if len(p) else ():
             m = p[part] - q[part]
             first = np.concatenate([[0], np.cumsum(m)[:-1]])
-            at = np.repeat(q[part] + 1 - first, m) + np.arange(m.sum())
-            self.common[look[part]] = np.minimum(np.minimum.reduceat(old_common[at], first), 254) + 1
+            span = np.repeat(q[part] + 1 - first, m) + np.arange(m.sum())
+            self.common[look[part]] = np.minimum(np.minimum.reduceat(common[span], first), 254) + 1
         return place
 
-    def _spread(self, x: np.ndarray, new: np.ndarray) -> np.ndarray:
-        if x.dtype == np.int16:
-            self.transform_before = x
-        out = np.zeros(len(new), x.dtype)
-        out[~new] = x
-        return out
-
     def repeated(self) -> np.ndarray:
         """(segment, suffix length) of suffixes that share WINDOW symbols with a neighbour."""
         near = self.common >= WINDOW
@@ -304,7 +310,9 @@ def repeated(bodies: list[bytes], block: int = BLOCK) -> list[bytes]:
         seg, x, h = window_hashes(data, first, left[some], size[some] - left[some] - GRAM)
         hit = again[seg]
         _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        maybe = n[back] > 1
+        # a group of equal hashes in which every window is known to be repeated has nothing to settle
+        open_ = np.bincount(back, ~hit, minlength=len(n)) > 0
+        maybe = (n[back] > 1) & open_[back]
         lively = np.unique(seg[maybe])
         grams = np.ascontiguousarray(data[first[lively][:, None] + np.arange(GRAM)[None, :]]).view(f"V{GRAM}").ravel()
         _, anchor, times = np.unique(grams, return_inverse=True, return_counts=True)
@@ -314,8 +322,7 @@ def repeated(bodies: list[bytes], block: int = BLOCK) -> list[bytes]:
         ends = np.flatnonzero(np.diff(np.sort(anchor[~large]), append=-1)) + 1  # whole anchors to a block
         at = 0
         while at < len(small):
-            fit = ends[(ends > at) & (ends <= at + block)]
-            to = int(fit[-1])
+            to = int(ends[np.searchsorted(ends, at + block, side="right") - 1])
             own = small[at:to]
             at = to
             c = Collection([raw[begin[some[i]] : begin[some[i]] + size[some[i]]] for i in own.tolist()])
