@@ -39,4 +39,15 @@ WARC_SOURCE = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM page
   q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS kept FROM p)
   SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(kept, page_id) AS refers_to FROM q"""
 
-ORACLE_SQL = {"op3_anchor_dedup": ANCHOR_DEDUP, "op4_winnow_decontam": WINNOW_DECONTAM, "op7_warc_source": WARC_SOURCE}
+COLUMNWISE_SUFFIX = """WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  c AS (SELECT r, 1000 * k AS base, substr(h, 2000 * k + 1, 2398) AS piece FROM (SELECT r, h, unnest(range((len(h) // 2 - 200) // 1000 + 1)) AS k FROM d WHERE len(h) >= 400)),
+  g AS (SELECT r, base + q AS p, substr(piece, 2 * q + 1, 400) AS win FROM (SELECT *, unnest(range(least(1000, len(piece) // 2 - 199))) AS q FROM c)),
+  f AS (SELECT win FROM g GROUP BY win HAVING count(*) > 1),
+  x AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM g SEMI JOIN f USING (win)),
+  y AS (SELECT r, p, sum(CASE WHEN before IS NULL OR p - before > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS island FROM x),
+  i AS (SELECT r, min(p) AS s, max(p) + 200 AS e FROM y GROUP BY r, island),
+  k AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS last FROM i),
+  t AS (SELECT k.r, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(substr(h, 2 * last + 1, 2 * (s - last)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM k JOIN d ON d.r = k.r GROUP BY k.r)
+  SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t ON t.r = d.r"""
+
+ORACLE_SQL = {"op8_columnwise_suffix": COLUMNWISE_SUFFIX, "op3_anchor_dedup": ANCHOR_DEDUP, "op4_winnow_decontam": WINNOW_DECONTAM, "op7_warc_source": WARC_SOURCE}
