@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import anchor_dedup, columnwise_suffix, crf_langid, lm_score, residual_packing, simhash_pivot, skipchain_pii, spotsigs, warc_source, winnow_decontam
+from . import anchor_dedup, columnwise_suffix, crf_langid, lm_score, piece_encoding, residual_packing, simhash_pivot, skipchain_pii, spelling_variants, spotsigs, warc_source, winnow_decontam
 from ._store import new_path, small_batches
 from .oracles import ORACLE_SQL
 
@@ -70,5 +70,18 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_lm_score, op3_anchor_dedup, op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii, op7_warc_source, op8_columnwise_suffix, op9_residual_packing, op10_spotsigs)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    coded = piece_encoding.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")
+    digests = coded.select(F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids).alias("doc"), "ids")
+    out = piece_encoding.decode(digests, ["doc"])
+    return out.select("doc.*", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_lm_score, op3_anchor_dedup, op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii, op7_warc_source, op8_columnwise_suffix, op9_residual_packing, op10_spotsigs, op11_spelling_variants, op12_piece_encoding)}
 __all__ = ["ORACLE_SQL", "QUERIES"]
