@@ -50,4 +50,29 @@ COLUMNWISE_SUFFIX = """WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(
   t AS (SELECT k.r, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(substr(h, 2 * last + 1, 2 * (s - last)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept FROM k JOIN d ON d.r = k.r GROUP BY k.r)
   SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t ON t.r = d.r"""
 
-ORACLE_SQL = {"op8_columnwise_suffix": COLUMNWISE_SUFFIX, "op3_anchor_dedup": ANCHOR_DEDUP, "op4_winnow_decontam": WINNOW_DECONTAM, "op7_warc_source": WARC_SOURCE}
+SPELLING_VARIANTS = f"""WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+  r AS (SELECT doc_id, translate(run, {_UPPER}) AS run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) WHERE len(run) >= 7 GROUP BY ALL),
+  x AS (SELECT run, c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r),
+  y AS (SELECT run, c, list_transform(range(1, len(x), 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', substr(x, i, 1)) - 1) + instr('0123456789ABCDEF', substr(x, i + 1, 1)) - 1 AS BIGINT)) AS bytes FROM x),
+  z AS (SELECT run, c, xor(list_reduce(list_concat([4294967295], bytes), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS h FROM y, t),
+  v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word FROM z) WHERE len(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+  d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v)),
+  p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM d a JOIN d b USING (i, k) WHERE a.word <> b.word UNION SELECT d.word, d.n, v.word, v.n FROM d JOIN v ON d.k = v.word UNION SELECT v.word, v.n, d.word, d.n FROM d JOIN v ON d.k = v.word),
+  b AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+  f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN b USING (word)),
+  w AS (SELECT word, word AS upto, 0 AS far FROM f UNION ALL SELECT w.word, f.form, far + 1 FROM w JOIN f ON w.upto = f.word WHERE f.form IS NOT NULL)
+  SELECT f.word, n, n_near, form, form_n, root FROM f JOIN (SELECT word, arg_max(upto, far) AS root FROM w GROUP BY word) USING (word)"""
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+RANKED_SEARCH = f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_UPPER}), {_TERMS})) AS term FROM documents),
+  q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_UPPER}), {_TERMS})) AS term FROM benchmark),
+  d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+  a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+  f AS (SELECT doc_id, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY doc_id, term),
+  w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, a GROUP BY term, docs),
+  s AS (SELECT f.doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS s FROM f JOIN d USING (doc_id) JOIN w USING (term), a),
+  r AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM q JOIN s USING (term) GROUP BY item_id, doc_id HAVING sum(s) > 0)
+  SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 50"""
+
+ORACLE_SQL = {"op11_spelling_variants": SPELLING_VARIANTS, "op13_ranked_search": RANKED_SEARCH, "op8_columnwise_suffix": COLUMNWISE_SUFFIX, "op3_anchor_dedup": ANCHOR_DEDUP, "op4_winnow_decontam": WINNOW_DECONTAM, "op7_warc_source": WARC_SOURCE}

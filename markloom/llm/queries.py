@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import anchor_dedup, columnwise_suffix, crf_langid, lm_score, piece_encoding, residual_packing, simhash_pivot, skipchain_pii, spelling_variants, spotsigs, warc_source, winnow_decontam
+from . import anchor_dedup, columnwise_suffix, crf_langid, lm_score, piece_encoding, ranked_search, residual_packing, simhash_pivot, skipchain_pii, spelling_variants, spotsigs, warc_source, winnow_decontam
 from ._store import new_path, small_batches
 from .oracles import ORACLE_SQL
 
@@ -83,5 +83,10 @@ def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.*", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_lm_score, op3_anchor_dedup, op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii, op7_warc_source, op8_columnwise_suffix, op9_residual_packing, op10_spotsigs, op11_spelling_variants, op12_piece_encoding)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_pivot, op2_lm_score, op3_anchor_dedup, op4_winnow_decontam, op5_crf_langid, op6_skipchain_pii, op7_warc_source, op8_columnwise_suffix, op9_residual_packing, op10_spotsigs, op11_spelling_variants, op12_piece_encoding, op13_ranked_search)}
 __all__ = ["ORACLE_SQL", "QUERIES"]

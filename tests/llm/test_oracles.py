@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def tables(spark, tmp_path):
     """Hostile documents, items that quote them, and pages that repeat."""
-    texts = hostile(n=40)
+    texts = ["Spelling spelling spellings", "spelling spellings Spelinge spelinge", *hostile(n=40)]
     frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     items = [None, "", "w1 w2", "É", " ".join((texts[-1] or "").split()[100:130])]
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
