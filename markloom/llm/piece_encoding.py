@@ -11,10 +11,10 @@ reached before the place is the only encoding of that prefix, so the place can
 never be a border again: one bit marks it as failed.  Each place is tried once
 for each piece that starts there, so time is linear in the text.
 
-Where no piece holds a space after another character, no merge crosses the
-border before such a space, and the units between are encoded once and kept in
-a bounded memory of the worker.  Units of any length are walked in blocks, so
-matches of a few thousand places are held at a time.
+No merge crosses the border between two characters that stand beside each other
+in no piece, such as a letter and a space behind it; the units between such
+borders are encoded once and kept in a bounded memory of the worker.  A unit of
+any length is walked once.
 
 Nothing is shuffled.  Pieces are told apart as the model's file says; the
 model's path is a parameter and is opened in the tasks, so it must exist on
@@ -32,13 +32,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import pairwise
+from math import inf
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-BLOCK, KNOWN = 4096, 1 << 18
+KNOWN, PAIRS = 1 << 19, 1 << 17
 
 
 def model_path() -> str:
@@ -48,16 +50,19 @@ def model_path() -> str:
 
 
 class _Known(dict):
-    """A memory of a function of a string, emptied when it holds KNOWN entries; long strings are not kept."""
+    """A memory of a function of a string: the last KNOWN entries and what is still used of the KNOWN before; long strings are not kept."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, unit: str) -> bytes:
-        out = self.make(unit)
+        out = self.before.get(unit)
+        if out is None:
+            out = self.make(unit)
         if len(unit) <= 64:
             if len(self) >= KNOWN:
+                self.before = dict(self)
                 self.clear()
             self[unit] = out
         return out
@@ -69,8 +74,6 @@ class Model:
     _own: dict[str, Model] = {}
 
     def __init__(self, path: str):
-        import re
-
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -83,22 +86,27 @@ class Model:
             raise ValueError(f"{path}: only merge-type models with byte fallback and plain normalisation are encoded")
         self.prefix = SPACE if norm.add_dummy_prefix else ""
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kind.NORMAL}
-        self.score = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
+        self.order = {p.piece: -p.score for p in proto.pieces if p.type == kind.NORMAL}  # the least is merged first
         byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kind.BYTE}
         self.byte_ids = [byte[b] for b in range(256)]
-        self.longest = max(map(len, self.ids))
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            self.automaton.add_word(piece, len(piece))
+            self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.units = (lambda s: [s]) if whole else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        prefixes = {p: [p[:i] for i in range(len(p) - 1, 0, -1)] for p in self.ids}
+        self.shorter = {p: next((x for x in of if x in self.ids), "") for p, of in prefixes.items()}
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        beside = {pair for p in self.ids for pair in pairwise(p)}
+        self.index = np.zeros(0x110000, np.int32)  # a number for each character that stands beside another one in a piece
+        self.index[[ord(c) for c in sorted({c for pair in beside for c in pair})]] = np.arange(len({c for pair in beside for c in pair})) + 1
+        self.beside = np.zeros((self.index.max() + 1,) * 2, bool)
+        self.beside[tuple(self.index[[ord(x[i]) for x in beside]] for i in (0, 1))] = True
         surface = {kind.NORMAL: lambda p: p.piece.replace(SPACE, " "), kind.CONTROL: lambda p: "", kind.UNKNOWN: lambda p: train.unk_surface}
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else surface[p.type](p).encode() for p in proto.pieces]
         self.is_byte = [p.type == kind.BYTE for p in proto.pieces]
         self.leads = [p.type == kind.NORMAL and p.piece.startswith(SPACE) for p in proto.pieces]
-        self.known = _Known(lambda unit: np.array([i for t in self.pieces(unit) for i in self.ids_of(t)], "<i4").tobytes())
-        self.together = lru_cache(KNOWN)(self._together)
+        self.known = _Known(lambda unit: b"".join(map(self._packed, self.pieces(unit))))
+        self.together = lru_cache(PAIRS)(self._together)
 
     @classmethod
     def of(cls, path: str) -> Model:
@@ -109,61 +117,60 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging: the pair of highest score first, of equal ones the leftmost."""
-        parts = list(text)
-        while True:
-            pairs = [(-self.score[x], i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in self.score]
-            if not pairs:
-                return parts
-            _, i = min(pairs)
+        parts, none = list(text), inf
+        order = [self.order.get(a + b, none) for a, b in pairwise(parts)]
+        while order and (best := min(order)) < none:
+            i = order.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del order[i]
+            if i:
+                order[i - 1] = self.order.get(parts[i - 1] + parts[i], none)
+            if i < len(order):
+                order[i] = self.order.get(parts[i] + parts[i + 1], none)
+        return parts
 
     def _together(self, left: str, right: str) -> bool:
         """Whether two neighbours stay what they are; with no left one, whether a piece can be reached at all."""
         return self.merged(left + right) == ([left, right] if left else [right])
 
-    def _starting(self, text: str) -> Callable[[int], list[int]]:
-        """Lengths of the pieces that start at a place, ascending; a character of no piece stands for itself."""
-        held: dict[int, list[list[int]]] = {}
-
-        def block(b: int) -> list[list[int]]:
-            out: list[list[int]] = [[] for _ in range(min(BLOCK, len(text) - b * BLOCK))]
-            for end, size in self.automaton.iter(text[b * BLOCK : (b + 1) * BLOCK + self.longest - 1]):
-                if end - size + 1 < len(out):
-                    out[end - size + 1].append(size)
-            return [x or [1] for x in out]
+    def units(self, text: str) -> list[str]:
+        """Parts of an escaped text, cut between characters that stand beside each other in no piece."""
+        c = self.index[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        cuts = [0, *(np.flatnonzero(~self.beside[c[:-1], c[1:]]) + 1).tolist(), len(text)]
+        return [text[a:b] for a, b in pairwise(cuts)]
 
-        def at(place: int) -> list[int]:
-            b, i = divmod(place, BLOCK)
-            if b not in held:
-                if len(held) > 3:
-                    held.clear()
-                held[b] = block(b)
-            return held[b][i]
-
-        return at
+    def _longest(self, text: str, at: int) -> str:
+        """The longest piece that starts at a place; a character of no piece stands for itself."""
+        end, piece = next(self.automaton.iter_long(text, at), (at, ""))
+        return piece if end - at < len(piece) else text[at]
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of an escaped text, by backtracking."""
-        starting, failed = self._starting(text), bytearray(len(text) // 8 + 1)
-        out: list[str] = []
-        at, below = 0, len(text) + 1
-        while at < len(text):
-            last = out[-1] if out else ""
-            for size in reversed(starting(at)):
-                to = at + size
-                if size < below and not failed[to >> 3] >> (to & 7) & 1 and self.together(last, text[at:to]):
-                    out.append(text[at:to])
-                    at, below = to, len(text) + 1
+        together, shorter, size = self.together, self.shorter, len(text)
+        out, at, last, failed = [], 0, "", None
+        piece = self._longest(text, 0) if text else ""
+        while piece or at:
+            while piece:
+                to = at + len(piece)
+                if (failed is None or not failed[to >> 3] >> (to & 7) & 1) and together(last, piece):
+                    break
+                piece = shorter.get(piece)
+            if piece:
+                out.append(piece)
+                if to == size:
                     break
+                at, last = to, piece
+                piece = self._longest(text, at)
             else:
+                failed = failed or bytearray(size // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                below = len(out.pop())
-                at -= below
+                taken = out.pop()
+                at, last, piece = at - len(taken), out[-1] if out else "", shorter.get(taken)
         return out
 
-    def ids_of(self, piece: str) -> list[int]:
-        own = self.ids.get(piece)
-        return [own] if own is not None else [self.byte_ids[b] for b in piece.encode()]
+    def _packed(self, piece: str) -> bytes:
+        own = self.packed.get(piece)
+        return own if own is not None else b"".join(self.byte_ids[b].to_bytes(4, "little") for b in piece.encode())
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
