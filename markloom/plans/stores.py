@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import articles as A, engine as E, relational as R, stores as S
-from ..sources import files
+from ..sources import files, snapshots
+from ..sources.shared import new_path
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -105,12 +104,27 @@ def q_score_tables(s, d):
 
 
 def q_saved_articles(s, d):
-    root = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
-    path = f"{root.rstrip('/')}/articles-{uuid.uuid4().hex}"
+    path = new_path(s, "articles")
     files.save_articles(_t(s, d, "part", "p_name || p_partkey AS title", "p_brand AS text", "CASE WHEN p_size % 2 = 0 THEN 'sq' ELSE 'de' END AS target_lang"), path)
     return files.unsaved(_t(s, d, "part", "p_name || p_partkey AS title"), path, "sq")
 
 
+def q_saved_snapshot(s, d):
+    """Drafts are saved after each chunk; what is read back is the last version."""
+    path = new_path(s, "drafts")
+    for before in (1, 3):
+        chunks = _t(s, d, "conversations", "conv_id AS article", "turn AS ord", "role AS section", f"CASE WHEN turn % 4 < {before} THEN 'translated' ELSE 'pending' END AS status", "text")
+        version = snapshots.save(S.partial_articles(chunks), path)
+    return snapshots.load(s, path).withColumn("version", F.lit(version))
+
+
+def q_saved_stats(s, d):
+    path = new_path(s, "stats")
+    for status in ("O", "F"):
+        snapshots.save(S.stats_line(_t(s, d, "orders", "o_orderpriority AS model", "o_custkey AS tokens", "0.5D AS cost", "o_orderstatus").where(F.col("o_orderstatus") == status)), path, form="json")
+    return snapshots.load(s, path)
+
+
 def q_completed(s, d):
     return E.completed(_t(s, d, "part", "p_brand AS prompt"), "sq", _local(_sq))
 
@@ -160,7 +174,7 @@ def q_planned(s, d):
 
 def q_processed(s, d):
     store = s.createDataFrame([], "k string, v string")
-    articles = _t(s, d, "part", "p_partkey AS article", "'Lead ' || p_brand || '.' || chr(10) || '== ' || p_name || ' ==' || chr(10) || CASE WHEN p_size % 3 = 0 THEN 'a [[b' ELSE 'c' END AS text").where("p_partkey % 2 = 0")
+    articles = _t(s, d, "part", "p_partkey AS article", "'Lead ' || p_brand || '.' || chr(10) || '== ' || p_name || ' ==' || chr(10) || CASE WHEN p_size % 3 = 0 THEN 'a [[b' ELSE 'c' END AS text")
     return A.processed(articles, store, "closed", _local(_closed), 1, 60)
 
 
@@ -175,13 +189,17 @@ _SHOWN = "CASE WHEN turn % 3 = 1 THEN '<!-- pending: ' || role || ' (pending) --
 ORACLE_SQL = {
     "expanded_templates": """SELECT p_partkey AS article, '<' || p_brand || '/' || CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'none' END || '> <' || p_name || '/o> {{other}}' AS text FROM part""",
     "planned": """SELECT p_partkey AS article, unnest([0, 1])::BIGINT AS ord, unnest(['Lead', p_name]) AS section, unnest(['Lead ' || p_brand || '.' || chr(10), '== ' || p_name || ' ==' || chr(10) || '{{notelist|' || p_size || '}} <ref name="' || p_brand || '">x</ref>' || chr(10)]) AS text, unnest([false, true]) AS is_complex FROM part""",
-    "processed": """SELECT p_partkey AS article, 'Lead ' || p_brand || '.' || chr(10) || '== ' || p_name || ' ==' || chr(10) || CASE WHEN p_size % 3 = 0 THEN 'a [[b]]' ELSE 'c' END AS text, CAST(0 AS BIGINT) AS findings FROM part WHERE p_partkey % 2 = 0""",
+    "processed": """SELECT p_partkey AS article, 'Lead ' || p_brand || '.' || chr(10) || '== ' || p_name || ' ==' || chr(10) || CASE WHEN p_size % 3 = 0 THEN 'a [[b]]' ELSE 'c' END AS text, CAST(0 AS BIGINT) AS findings FROM part""",
     "rereviewed": """SELECT p_partkey AS article, CASE WHEN p_size % 3 = 0 THEN regexp_replace(x, 'bad', 'good') ELSE x END AS text, p_size % 3 = 0 AS changed FROM (SELECT *, 'Lead ' || CASE WHEN p_size % 3 = 0 THEN 'bad ' ELSE '' END || p_brand || chr(10) || '== ' || p_name || ' ==' || chr(10) || 'x' || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || '<!--' || chr(10) || 'NUK ËSHTË PJESË bad' ELSE '' END AS x FROM part)""",
     "row_count": "SELECT count(*) AS n FROM customer",
     "recached": "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS v, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS created FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 2 = 0",
     "merged_usage": "SELECT event_type AS model, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens, round(sum(value), 4) AS cost FROM events GROUP BY event_type",
     "partial_articles": f"""WITH c AS (SELECT conv_id, turn, {_SHOWN} AS t FROM conversations), l AS (SELECT *, last_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM c)
       SELECT conv_id AS article, string_agg(CASE WHEN t <> '' AND b IS NOT NULL AND right(b, 1) <> chr(10) AND left(t, 1) <> chr(10) THEN chr(10) ELSE '' END || t, '' ORDER BY turn) AS text FROM l GROUP BY conv_id""",
+    "saved_snapshot": f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '<!-- pending: ' || role || ' (pending) -->' ELSE coalesce(text, '') END AS t FROM conversations), l AS (SELECT *, last_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM c)
+      SELECT conv_id AS article, string_agg(CASE WHEN t <> '' AND b IS NOT NULL AND right(b, 1) <> chr(10) AND left(t, 1) <> chr(10) THEN chr(10) ELSE '' END || t, '' ORDER BY turn) AS text, 2 AS version FROM l GROUP BY conv_id""",
+    "saved_stats": """SELECT '{"calls":' || sum(n) || ',"tokens":' || sum(t) || ',"models":[' || string_agg('{"model":"' || m || '","calls":' || n || ',"tokens":' || t || ',"cost":' || c || '}', ',' ORDER BY m) || ']}' AS line
+      FROM (SELECT o_orderpriority AS m, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS t, CAST(count(*) * 0.5 AS DOUBLE) AS c FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)""",
     "stats_line": """SELECT '{"calls":' || sum(n) || ',"tokens":' || sum(t) || ',"models":[' || string_agg('{"model":"' || m || '","calls":' || n || ',"tokens":' || t || ',"cost":' || c || '}', ',' ORDER BY m) || ']}' AS line
       FROM (SELECT o_orderstatus AS m, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS t, CAST(count(*) * 0.5 AS DOUBLE) AS c FROM orders GROUP BY 1)""",
     "fact_export": "SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'link' ELSE 'template' END AS kind, CASE WHEN n_nationkey % 2 = 0 THEN '## Links' ELSE '## Templates' END || chr(10) || string_agg('| ' || n_name || ' | ' || lower(n_name) || ' |', chr(10) ORDER BY n_name) AS text FROM nation WHERE n_nationkey % 3 > 0 GROUP BY n_nationkey % 2",

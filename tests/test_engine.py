@@ -78,13 +78,6 @@ def test_null_chunks_and_repeated_cache_rows(spark):
     assert [tuple(r) for r in R.resolve_cached(kv.select("k"), kv, kv.limit(0)).collect()] == [("k", "2", True)]
 
 
-def test_snapshots_are_replaced_whole(spark, tmp_path):
-    path = str(tmp_path / "s")
-    for n in (3, 5):
-        S.saved_whole(spark.range(n), path)
-        assert S.snapshot(spark, path, "id long").count() == n
-
-
 def test_settings():
     c = C.config("provider: a\nmodel: m  # note\ncomplex_model: big\n\n", {"MARKLOOM_CONTACT": "x@y"})
     assert (c.provider, c.model, c.complex_model, c.user_agent) == ("a", "m", "big", "markloom (x@y)")
