@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from .containment import held
 from .relational import _sql
 
 
@@ -52,14 +53,16 @@ def orphan_definitions(reuses: DataFrame, defined: DataFrame, source: DataFrame)
 
 
 def unsupported_reuses(reuses: DataFrame, defined: DataFrame, sources: DataFrame) -> DataFrame:
-    """J13. Of reuses (article, name, pos) those without a definition whose name the text of sources (article, text) does not hold either."""
-    return _sql(
+    """J13. Of reuses (article, name, pos) those without a definition whose name no text of sources (article, text) holds either; articles without a source, and null and empty names, are left out."""
+    loose = _sql(
         """SELECT r.article, r.name, r.pos FROM {reuses} r LEFT ANTI JOIN {defined} d ON r.article = d.article AND r.name = d.name
-        JOIN {sources} s ON r.article = s.article WHERE NOT contains(s.text, r.name)""",
+        LEFT SEMI JOIN {sources} s ON r.article = s.article WHERE r.name <> ''""",
         reuses=reuses,
         defined=defined,
         sources=sources,
     )
+    found = held(loose.selectExpr("article AS scope", "name"), sources.selectExpr("article AS scope", "0 AS part", "text"))
+    return loose.join(found.selectExpr("scope AS article", "name").distinct(), ["article", "name"], "left_anti").select("article", "name", "pos")
 
 
 def list_duplicates(made: DataFrame, source: DataFrame) -> DataFrame:
@@ -75,10 +78,46 @@ def list_duplicates(made: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def route_findings(findings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """J06. findings (article, finding, name) go to the first of chunks (article, ord, text) that holds the name, or else to all of the article."""
+    """J06. findings (article, finding, name) go to the first of chunks (article, ord, text) that holds the name, or else to all of the article, as those without a name do."""
+    found = held(findings.selectExpr("article AS scope", "name"), chunks.selectExpr("article AS scope", "ord AS part", "text"))
+    first = found.groupBy("scope", "name").agg({"part": "min"}).toDF("scope", "name", "ord")
+    return _sql(
+        """WITH f AS (SELECT f.article, f.finding, min(h.ord) AS ord FROM {findings} f LEFT JOIN {first} h ON f.article = h.scope AND f.name = h.name GROUP BY f.article, f.finding)
+        SELECT f.article, f.finding, f.ord FROM f WHERE f.ord IS NOT NULL UNION ALL SELECT f.article, f.finding, c.ord FROM f JOIN {chunks} c ON f.article = c.article WHERE f.ord IS NULL""",
+        findings=findings,
+        first=first,
+        chunks=chunks,
+    )
+
+
+# The kinds whose message names a reference, and the module names space.
+REFERENCE_KINDS = ("orphaned_named_ref", "cite_error")
+MODULES = "moduli:"
+
+
+def route_messages(findings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """J06. findings (article, finding, kind, line, message) without a line go to the first of chunks (article, ord, text, made) with a reference of a name that the message quotes, or else to all chunks.
+
+    Names are compared without regard to case, entities resolved, in both texts
+    of a chunk.  Left out: findings with a line; module errors of no line; and
+    those about harvc where a located finding of the kind harvc_used stands in
+    the article.  Equal messages of a kind reach a chunk once: the smallest finding.
+    """
+    plain = "replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&#39;', \"'\"), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    kinds = ", ".join(f"'{k}'" for k in REFERENCE_KINDS)
     return _sql(
-        """WITH f AS (SELECT f.article, f.finding, min(c.ord) AS ord FROM {findings} f LEFT JOIN {chunks} c ON f.article = c.article AND contains(c.text, f.name) GROUP BY f.article, f.finding)
-        SELECT f.article, f.finding, coalesce(f.ord, c.ord) AS ord FROM f JOIN {chunks} c ON f.article = c.article AND c.ord = coalesce(f.ord, c.ord)""",
+        f"""WITH f AS (SELECT article, finding, kind, message, {plain.format("message")} AS said FROM {{findings}} WHERE line IS NULL AND article IS NOT NULL),
+        h AS (SELECT DISTINCT article FROM {{findings}} WHERE kind = 'harvc_used' AND line IS NOT NULL),
+        g AS (SELECT f.* FROM f LEFT JOIN h ON f.article = h.article WHERE NOT (f.kind IN ('lua_script_error', 'unexpanded_template') AND contains(lower(f.message), 'harvc') AND h.article IS NOT NULL)
+          AND NOT (f.kind = 'unexpanded_template' AND contains(lower(f.message), '{MODULES}'))),
+        q AS (SELECT article, finding, explode(regexp_extract_all(said, r'["\\x27‘’“”]([^"\\x27‘’“”]+)["\\x27‘’“”]', 1)) AS name FROM g WHERE kind IN ({kinds})),
+        r AS (SELECT article, ord, explode(array_distinct(concat(regexp_extract_all(lower({plain.format("coalesce(made, '')")}), r'<ref\\b[^>\\n]*?\\bname\\s*=\\s*["\\x27]([^"\\x27\\n]*)["\\x27]', 1), regexp_extract_all(lower({plain.format("coalesce(text, '')")}), r'<ref\\b[^>\\n]*?\\bname\\s*=\\s*["\\x27]([^"\\x27\\n]*)["\\x27]', 1)))) AS name FROM {{chunks}}),
+        t AS (SELECT q.article, q.finding, min(r.ord) AS ord FROM q JOIN r ON q.article = r.article AND lower(q.name) = r.name GROUP BY q.article, q.finding),
+        a AS (SELECT g.article, g.finding, g.kind, g.message, t.ord FROM g LEFT JOIN t ON g.article = t.article AND g.finding = t.finding)
+        SELECT article, ord, min(finding) AS finding, ord_first IS NOT NULL AS targeted FROM (
+          SELECT article, finding, kind, message, ord, ord AS ord_first FROM a WHERE ord IS NOT NULL
+          UNION ALL SELECT a.article, a.finding, a.kind, a.message, c.ord, NULL FROM a JOIN (SELECT DISTINCT article, ord FROM {{chunks}}) c ON a.article = c.article WHERE a.ord IS NULL) x
+        GROUP BY article, ord, kind, message, ord_first IS NOT NULL""",
         findings=findings,
         chunks=chunks,
     )
@@ -157,16 +196,42 @@ def glossary(replies: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def verified_facts(mentions: DataFrame, facts: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:
     """J01. Facts of a chunk: mentions (article, chunk, title) known to facts (article, title, target), and terms (article, term, rendering) that texts (article, chunk, text) hold."""
+    found = held(terms.selectExpr("article AS scope", "term AS name"), texts.selectExpr("article AS scope", "chunk AS part", "text"))
     return _sql(
         """SELECT DISTINCT m.article, m.chunk, 'link' AS kind, m.title AS name, f.target AS value FROM {mentions} m JOIN {facts} f ON m.article = f.article AND m.title = f.title
-        UNION ALL SELECT DISTINCT t.article, t.chunk, 'term', g.term, g.rendering FROM {texts} t JOIN {terms} g ON t.article = g.article AND contains(t.text, g.term)""",
+        UNION ALL SELECT DISTINCT h.scope, h.part, 'term', g.term, g.rendering FROM {found} h JOIN {terms} g ON h.scope = g.article AND h.name = g.term""",
         mentions=mentions,
         facts=facts,
-        texts=texts,
+        found=found,
         terms=terms,
     )
 
 
+def fact_lines(mentions: DataFrame, facts: DataFrame, renderings: DataFrame, editions: DataFrame, params: DataFrame) -> DataFrame:
+    """J01. What is known of a chunk's mentions (article, chunk, kind, title): one row (article, chunk, kind, title, state, value) for each that facts (article, kind, title, target) has.
+
+    A link is confirmed as its target, or else established as a rendering
+    (article, title, rendering) used elsewhere in the article, or has a number
+    of other editions (title, n), or is missing.  A template is confirmed under
+    its target without the name space, with the parameters of params (title,
+    params array), or missing.  Repeated rows are one; null titles are in no fact;
+    of several targets, renderings, numbers or lists the largest counts.
+    """
+    return _sql(
+        """WITH m AS (SELECT DISTINCT article, chunk, kind, title FROM {mentions}), f AS (SELECT article, kind, title, max(target) AS target FROM {facts} GROUP BY article, kind, title),
+        r AS (SELECT article, title, max(rendering) AS rendering FROM {renderings} GROUP BY article, title), e AS (SELECT title, max(n) AS n FROM {editions} GROUP BY title), p AS (SELECT title, max(params) AS params FROM {params} GROUP BY title)
+        SELECT m.article, m.chunk, m.kind, m.title,
+          CASE WHEN f.target IS NOT NULL THEN 'confirmed' WHEN m.kind <> 'link' THEN 'missing' WHEN r.rendering IS NOT NULL THEN 'established' WHEN e.n > 0 THEN 'elsewhere' WHEN e.n = 0 THEN 'nowhere' ELSE 'missing' END AS state,
+          CASE WHEN f.target IS NOT NULL AND m.kind = 'link' THEN f.target WHEN f.target IS NOT NULL THEN concat(regexp_replace(f.target, '^[^:]*:', ''), coalesce(concat(': ', nullif(array_join(p.params, ', '), '')), '')) WHEN m.kind = 'link' THEN coalesce(r.rendering, CAST(e.n AS STRING)) END AS value
+        FROM m JOIN f ON m.article = f.article AND m.kind = f.kind AND m.title = f.title LEFT JOIN r ON m.article = r.article AND m.title = r.title LEFT JOIN e ON m.title = e.title LEFT JOIN p ON m.kind = 'template' AND m.title = p.title""",
+        mentions=mentions,
+        facts=facts,
+        renderings=renderings,
+        editions=editions,
+        params=params,
+    )
+
+
 def unbalanced(texts: DataFrame, opener: str = "{{", closer: str = "}}") -> DataFrame:
     """V01. texts (id, text) with unequal numbers of openers and closers: both numbers, offset of the first without partner, its line.
 

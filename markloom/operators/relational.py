@@ -59,12 +59,24 @@ def assemble(chunks: DataFrame) -> DataFrame:
 
 
 def locate_findings(findings: DataFrame, spans: DataFrame) -> DataFrame:
-    """J05. findings (article, finding, line): the first chunk (by ord) whose span holds the line; null where none does."""
+    """J05. findings (article, finding, line): the first chunk (by ord) whose span holds the line; null where none does.
+
+    A span (article, ord, first_line, last_line) lies in one or two bins of the
+    least power of two that is no shorter than it, and a line meets the spans of
+    its bin at each length that occurs, at most 63; so the join is on equal
+    (article, length, bin), and an article of any number of lines is dealt over
+    all tasks.  Null lines, articles and borders meet nothing; spans that end
+    before they start hold nothing; repeated findings are one.
+    """
     return _sql(
-        """SELECT f.article, f.finding, min(s.ord) AS ord FROM {findings} f LEFT JOIN {spans} s
-        ON f.article = s.article AND f.line BETWEEN s.first_line AND s.last_line GROUP BY f.article, f.finding""",
-        findings=findings,
+        """WITH s AS (SELECT article, ord, first_line, last_line, CAST(length(conv(last_line - first_line, 10, 2)) * if(last_line = first_line, 0, 1) AS INT) AS k FROM {spans} WHERE last_line >= first_line AND article IS NOT NULL),
+        b AS (SELECT *, explode(array_distinct(array(shiftright(CAST(first_line AS BIGINT), k), shiftright(CAST(last_line AS BIGINT), k)))) AS bin FROM s),
+        f AS (SELECT DISTINCT article, finding, line FROM {findings}),
+        l AS (SELECT article, finding, line, explode(ks) AS k FROM (SELECT *, (SELECT collect_set(k) FROM s) AS ks FROM f WHERE line IS NOT NULL) x),
+        m AS (SELECT l.article, l.finding, min(b.ord) AS ord FROM l JOIN b ON l.article = b.article AND l.k = b.k AND shiftright(CAST(l.line AS BIGINT), l.k) = b.bin AND l.line BETWEEN b.first_line AND b.last_line GROUP BY l.article, l.finding)
+        SELECT f.article, f.finding, m.ord FROM (SELECT DISTINCT article, finding FROM f) f LEFT JOIN m ON f.article <=> m.article AND f.finding <=> m.finding""",
         spans=spans,
+        findings=findings,
     )
 
 

@@ -131,6 +131,28 @@ def q_tiers(s, d):
     return e.select("event_id", S.tier(F.col("hard"), F.col("model"), F.col("large")).alias("model"))
 
 
+_NAMED = "'<ref name=\"' || role || turn % 4 || '\"> x'"
+_SAID = "CASE WHEN turn % 3 = 0 THEN 'Gabim: “' || upper(role) || turn % 5 || '” again' WHEN turn % 3 = 1 THEN 'Moduli:X' ELSE 'harvc in ' || role END"
+_FINDING = "CASE WHEN turn % 7 = 6 THEN 'harvc_used' WHEN turn % 3 = 0 THEN 'cite_error' WHEN turn % 2 = 0 THEN 'unexpanded_template' ELSE 'lua_script_error' END"
+
+
+def q_route_messages(s, d):
+    findings = _t(s, d, "conversations", "conv_id AS article", "turn AS finding", f"{_FINDING} AS kind", "CASE WHEN turn % 7 = 6 AND conv_id % 2 = 0 THEN turn END AS line", f"{_SAID} AS message")
+    return P.route_messages(findings, _t(s, d, "conversations", "conv_id AS article", "turn AS ord", f"{_NAMED} AS text", "CASE WHEN turn % 2 = 0 THEN 'none' END AS made"))
+
+
+_KIND = "CASE WHEN event_id % 4 = 0 THEN 'template' ELSE 'link' END"
+
+
+def q_fact_lines(s, d):
+    mentions = _t(s, d, "events", "user_id AS article", "event_id % 7 AS chunk", f"{_KIND} AS kind", "concat(event_type, event_id % 3) AS title")
+    facts = _e(s, d, "event_id % 5 > 0", "user_id AS article", f"{_KIND} AS kind", "concat(event_type, event_id % 3) AS title", "CASE WHEN event_id % 13 = 0 THEN concat('Stampa:', event_id) END AS target")
+    renderings = _e(s, d, "event_id % 9 = 0", "user_id AS article", "concat(event_type, event_id % 3) AS title", "concat('r', event_id) AS rendering")
+    editions = _t(s, d, "nation", "concat('click', n_nationkey % 3) AS title", "CAST(n_regionkey AS BIGINT) * (n_nationkey % 3) AS n")
+    params = _t(s, d, "nation", "concat('view', n_nationkey % 3) AS title", "array('a', n_name) AS params")
+    return P.fact_lines(mentions, facts, renderings, editions, params)
+
+
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 
 _SQUASHED = f"trim(regexp_replace({_BODY}, '\\s+', ' ', 'g'))"
@@ -164,6 +186,20 @@ ORACLE_SQL = {
     "glossary": "SELECT event_id AS article, 'click' AS term, 'k' || event_id AS rendering FROM events WHERE event_type = 'click' AND event_id % 5 <> 0",
     "verified_facts": """SELECT user_id AS article, event_id AS chunk, 'link' AS kind, event_type AS name, 't' || event_type AS value FROM events WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events WHERE event_id % 20 = 0)
       UNION ALL SELECT user_id, event_id, 'term', 'ked', c_name FROM events JOIN customer ON c_custkey = user_id WHERE contains(event_type || 'ed x', 'ked')""",
+    "route_messages": f"""WITH f AS (SELECT conv_id AS article, turn AS finding, {_FINDING} AS kind, CASE WHEN turn % 7 = 6 AND conv_id % 2 = 0 THEN turn END AS line, {_SAID} AS message FROM conversations),
+      g AS (SELECT * FROM f WHERE line IS NULL AND NOT (kind IN ('lua_script_error', 'unexpanded_template') AND contains(lower(message), 'harvc') AND article IN (SELECT article FROM f WHERE kind = 'harvc_used' AND line IS NOT NULL))
+        AND NOT (kind = 'unexpanded_template' AND contains(lower(message), 'moduli:'))),
+      r AS (SELECT conv_id AS article, turn AS ord, regexp_extract({_NAMED}, 'name="([^"]*)"', 1) AS name FROM conversations),
+      t AS (SELECT g.article, g.finding, min(r.ord) AS ord FROM g JOIN r ON g.article = r.article AND g.kind = 'cite_error' AND r.name = lower(regexp_extract(g.message, '“([^”]*)”', 1)) GROUP BY ALL)
+      SELECT article, ord, min(finding) AS finding, targeted FROM (SELECT g.article, c.turn AS ord, g.finding, g.kind, g.message, t.ord IS NOT NULL AS targeted FROM g LEFT JOIN t USING (article, finding) JOIN conversations c ON c.conv_id = g.article AND c.turn = coalesce(t.ord, c.turn)) GROUP BY article, ord, kind, message, targeted""",
+    "fact_lines": f"""WITH e AS (SELECT *, {_KIND} AS kind, event_type || event_id % 3 AS title FROM events),
+      f AS (SELECT user_id, kind, title, max(CASE WHEN event_id % 13 = 0 THEN 'Stampa:' || event_id END) AS target FROM e WHERE event_id % 5 > 0 GROUP BY ALL),
+      r AS (SELECT user_id, title, max('r' || event_id) AS rendering FROM e WHERE event_id % 9 = 0 GROUP BY ALL),
+      n AS (SELECT 'click' || n_nationkey % 3 AS title, max(n_regionkey * (n_nationkey % 3)) AS n FROM nation GROUP BY 1), p AS (SELECT 'view' || n_nationkey % 3 AS title, 'a, ' || max(n_name) AS params FROM nation GROUP BY 1)
+      SELECT DISTINCT e.user_id AS article, event_id % 7 AS chunk, e.kind, e.title,
+        CASE WHEN target IS NOT NULL THEN 'confirmed' WHEN e.kind = 'template' THEN 'missing' WHEN rendering IS NOT NULL THEN 'established' WHEN n > 0 THEN 'elsewhere' WHEN n = 0 THEN 'nowhere' ELSE 'missing' END AS state,
+        CASE WHEN e.kind = 'link' THEN coalesce(target, rendering, CAST(n AS VARCHAR)) WHEN target IS NOT NULL THEN substr(target, 8) || coalesce(': ' || params, '') END AS value
+      FROM e JOIN f ON f.user_id = e.user_id AND f.kind = e.kind AND f.title = e.title LEFT JOIN r ON r.user_id = e.user_id AND r.title = e.title LEFT JOIN n ON n.title = e.title LEFT JOIN p ON p.title = e.title""",
     "unbalanced": """WITH x AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 5 AS m FROM documents WHERE doc_id % 5 IN (0, 1, 3))
       SELECT doc_id AS id, CASE m WHEN 1 THEN 1 ELSE 2 END AS opened, CASE m WHEN 1 THEN 2 ELSE 1 END AS closed, CAST(length(t) + 1 + CASE m WHEN 0 THEN 8 ELSE 0 END AS BIGINT) AS at, CAST(length(t) - length(replace(t, chr(10), '')) + 2 AS BIGINT) AS line FROM x""",
     "spaced_headings": """WITH x AS (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(string_split(coalesce(text, ''), chr(10))[-1], '\\S') AS gap FROM documents)

@@ -103,7 +103,7 @@ def test_queue_is_drained_and_failures_are_answered(spark, tmp_path):
 
     def handle(batch):
         if batch.where("article = 3").count():
-            raise RuntimeError("engine")
+            raise queue.Unanswered("engine")
         return batch.selectExpr("article", "true AS ok")
 
     for _ in range(2):  # a second run finds nothing new
