@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 # Fixed values.
 VERBATIM = ("math", "chem", "nowiki", "code", "pre", "syntaxhighlight", "source", "tt")
-_MARKS = re.compile(r"<!--|\{\{\{(?!\{)|\{\{|\}\}|\[\[|\]\]|\||^\{\||^\|\}(?!\})|<(/?)([A-Za-z][A-Za-z0-9]*)\b([^<>]*)>", re.MULTILINE)
+_MARKS = re.compile(r"<!--|\{\{\{(?!\{)|\{\{|\}\}|\[\[|\]\]|^\{\||^\|\}(?!\})|\||<(/?)([A-Za-z][A-Za-z0-9]*)\b([^<>]*)>", re.MULTILINE)
 
 
 @dataclass
