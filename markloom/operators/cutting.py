@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions import markup as M
 from ..sources.shared import new_path
 from . import elements as E
 
@@ -151,3 +152,9 @@ def article_chunks(sections: DataFrame, least: int = CHUNK_MIN, most: int = CHUN
     parts = section_pieces(large.select("id", "text"), least, most).join(large.select("id", "titles"), "id").select("id.id", "id.piece", F.col("piece").alias("part"), "titles", "text", "tokens")
     order = Window.partitionBy("id").orderBy("piece", "part")
     return small.unionByName(parts).select(F.col("id").alias("article"), (F.row_number().over(order) - 1).cast("long").alias("ord"), "titles", "text", "tokens")
+
+
+def sectioned(articles: DataFrame) -> DataFrame:
+    """P01. (article, n, title, text) of articles (article, text): the parts between headings, blank ones left out, n from 0 on."""
+    parts = articles.select("article", F.posexplode(M.sections(F.col("text"))).alias("n", "text"))
+    return parts.select("article", "n", M.section_title(F.col("text")).alias("title"), "text")

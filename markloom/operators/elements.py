@@ -111,7 +111,7 @@ def elements(texts: DataFrame) -> DataFrame:
 
 
 def separators(texts: DataFrame) -> DataFrame:
-    """(id, at, mark, s, e) of bars and equals signs of templates and links themselves: s and e are their owner's; one row with a null at for an owner without."""
+    """(id, at, mark, kind, s, e) of bars and equals signs that stand in a template or link itself; kind, s and e are their owner's."""
     rows = _kinds(marks(texts))
     found = _elements(rows)
     around = found.select("id", "s", "depth", F.struct("kind", "s", "e").alias("element"))
@@ -120,9 +120,7 @@ def separators(texts: DataFrame) -> DataFrame:
     both = steps.unionByName(rows.where("step IS NULL").select("id", "at", F.lit(0).alias("step"), "mark"))
     order = Window.partitionBy("id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = both.withColumn("level", F.sum("step").over(order) - 1).where("mark <> ''").drop("step")
-    own = _above(level, around).where("owner.kind IN ('template', 'link') AND owner.e > at").select("id", "at", "mark", F.col("owner.s").alias("s"), F.col("owner.e").alias("e"))
-    bare = found.where("kind IN ('template', 'link')").select("id", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("mark"), "s", "e")
-    return own.unionByName(bare.join(own.select("id", "s").distinct(), ["id", "s"], "left_anti"))
+    return _above(level, around).where("owner.kind IN ('template', 'link') AND owner.e > at").select("id", "at", "mark", "owner.kind", "owner.s", "owner.e")
 
 
 def cut(text: Column, a: Column, b: Column) -> Column:
@@ -133,7 +131,7 @@ def cut(text: Column, a: Column, b: Column) -> Column:
 def template_calls(texts: DataFrame) -> DataFrame:
     """(id, s, e, name, depth) of all templates, the name as written, blanks around it dropped."""
     found = elements(texts).where("kind = 'template'").select("id", "s", "e", "depth")
-    bars = separators(texts).where("mark = '|'").groupBy("id", "s").agg(F.min("at").alias("bar"))
+    bars = separators(texts).where("mark = '|' AND kind = 'template'").groupBy("id", "s").agg(F.min("at").alias("bar"))
     both = found.join(bars, ["id", "s"], "left").join(texts.select("id", "text"), "id")
     name = cut(F.col("text"), F.col("s") + 2, F.coalesce("bar", F.col("e") - 2))
     return both.select("id", "s", "e", F.regexp_replace(name, r"^\s+|\s+$", "").alias("name"), "depth")
@@ -148,22 +146,33 @@ def template_names(texts: DataFrame) -> DataFrame:
 
 
 def template_params(texts: DataFrame) -> DataFrame:
-    """(id, s, e, call, n, name, value, keyed, a, v, b): parameters of all templates; call is the template's name for look-ups, a the place behind the bar, v that of the value, b the parameter's end.
+    """(id, s, e, call, n, name, value, keyed, a, v, b, name_span, value_span): parameters of all templates; call is the template's name for look-ups, a the place behind the bar, v that of the value, b the parameter's end, the spans those without blanks around.
 
     Parameters without a name are named by their number among such.
     """
-    sep = separators(texts)
-    calls = template_calls(texts).select("id", "s", "e", F.regexp_replace(F.lower("name"), r"\s+", " ").alias("call"))
     order = Window.partitionBy("id", "s").orderBy("at")
-    own = sep.where("mark IS NOT NULL").withColumn("n", F.count(F.when(F.col("mark") == "|", 1)).over(order)).where("n > 0")
+    own = separators(texts).where("kind = 'template'").withColumn("n", F.count(F.when(F.col("mark") == "|", 1)).over(order)).where("n > 0")
     spans = own.groupBy("id", "s", "e", "n").agg((F.min(F.when(F.col("mark") == "|", F.col("at"))) + 1).alias("a"), F.min(F.when(F.col("mark") == "=", F.col("at"))).alias("cut"))
     spans = spans.withColumn("b", F.coalesce(F.lead("a").over(Window.partitionBy("id", "s").orderBy("n")) - 1, F.col("e") - 2))
     spans = spans.withColumn("place", F.count(F.when(F.col("cut").isNull(), 1)).over(Window.partitionBy("id", "s").orderBy("n")))
     v = F.coalesce(F.col("cut") + 1, F.col("a"))
-    both = spans.join(calls.drop("e"), ["id", "s"]).join(texts.select("id", "text"), "id")
-    clean = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    name = F.when(F.col("cut").isNotNull(), clean(cut(F.col("text"), F.col("a"), F.col("cut")))).otherwise(F.col("place").cast("string"))
-    return both.select("id", "s", "e", "call", "n", name.alias("name"), clean(cut(F.col("text"), v, F.col("b"))).alias("value"), F.col("cut").isNotNull().alias("keyed"), "a", v.alias("v"), "b")
+    spans = spans.withColumn("bar", F.min("a").over(Window.partitionBy("id", "s")) - 1)
+    both = spans.join(texts.select("id", "text"), "id").withColumn("call", F.regexp_replace(F.lower(trimmed(cut(F.col("text"), F.col("s") + 2, F.col("bar")))), r"\s+", " "))
+    name = F.when(F.col("cut").isNotNull(), trimmed(cut(F.col("text"), F.col("a"), F.col("cut")))).otherwise(F.col("place").cast("string"))
+    own = cut(F.col("text"), v, F.col("b"))
+    out = both.select("id", "s", "e", "call", "n", name.alias("name"), trimmed(own).alias("value"), F.col("cut").isNotNull().alias("keyed"), "a", v.alias("v"), "b", F.coalesce("cut", "a").alias("c"), own.alias("own"), cut(F.col("text"), F.col("a"), F.coalesce("cut", "a")).alias("head"))
+    return out.select("id", "s", "e", "call", "n", "name", "value", "keyed", "a", "v", "b", inner_span(F.col("head"), F.col("a")).alias("name_span"), inner_span(F.col("own"), F.col("v")).alias("value_span"))
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def inner_span(text: Column, at: Column) -> Column:
+    """(s, e) of what stands between the blanks of a text at a place; the whole span of a blank one."""
+    lead = F.length(text) - F.length(F.regexp_replace(text, r"^\s+", ""))
+    blank = trimmed(text) == ""
+    return F.struct((at + F.when(blank, 0).otherwise(lead)).alias("s"), (at + F.when(blank, F.length(text)).otherwise(lead + F.length(trimmed(text)))).alias("e"))
 
 
 def edited(texts: DataFrame, edits: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import checks as C, chunks as K, rewrites as W, wiki as M
-from ..operators import wikitext as T
+from ..operators import cutting as X, elements as E, pairing as P, rewriting as R, wikitext as T
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -48,6 +48,10 @@ def _part(s, d, expr: str, *more: str) -> DataFrame:
     return _t(s, d, "part", "p_partkey", f"{expr} AS x", *more)
 
 
+def _texts(s, d, expr: str) -> DataFrame:
+    return _t(s, d, "part", "p_partkey AS id", f"{expr} AS text")
+
+
 def _found(s, d, expr: str, check) -> DataFrame:
     return T.findings(_part(s, d, expr), check, "x", ["p_partkey"]).select("p_partkey", "kind", "line")
 
@@ -57,19 +61,23 @@ def _text(s, d, expr: str, fn) -> DataFrame:
 
 
 def q_bracket_findings(s, d):
-    return _found(s, d, _BRACKETS, lambda x: C.unbalanced(C.masked(x), "link", "[[", "]]"))
+    texts = _texts(s, d, _BRACKETS)
+    found = P.unbalanced(texts.select("id", E.masked(F.col("text")).alias("text")), "[[", "]]")
+    return found.select(F.col("id").alias("p_partkey"), F.lit("link").alias("kind"), F.col("line").cast("int").alias("line"))
 
 
 def q_masked(s, d):
-    return T.mapped(_part(s, d, _BRACKETS), lambda x: (C.masked(x),), "text string", "x").drop("x")
+    return _texts(s, d, _BRACKETS).select(F.col("id").alias("p_partkey"), E.masked(F.col("text")).alias("text"))
 
 
 def q_table_balance(s, d):
-    return T.findings(_part(s, d, _TABLES), C.unbalanced_tables, "x", ["p_partkey"]).select("p_partkey", "kind", "message")
+    found = R.table_balance(_texts(s, d, _TABLES))
+    said = F.concat(F.lit("unbalanced table: "), F.col("opened").cast("string"), F.lit(" of {| and "), F.col("closed").cast("string"), F.lit(" of |}"))
+    return found.select(F.col("id").alias("p_partkey"), F.lit("table").alias("kind"), said.alias("message"))
 
 
 def q_ref_balance(s, d):
-    return _found(s, d, _REFS, C.unbalanced_refs)
+    return R.ref_balance(_texts(s, d, _REFS)).select(F.col("id").alias("p_partkey"), F.lit("reference").alias("kind"), F.col("line").cast("int").alias("line"))
 
 
 def q_misplaced_headings(s, d):
@@ -101,43 +109,49 @@ def q_assembled_findings(s, d):
 
 
 def q_template_names(s, d):
-    return T.exploded(_part(s, d, _NAMED), lambda x: [(n,) for n in M.template_names(x)], "name string", ["x"], ["p_partkey"])
+    return E.template_names(_texts(s, d, _NAMED)).withColumnRenamed("id", "p_partkey")
 
 
 def q_ill_renderings(s, d):
-    return T.exploded(_part(s, d, _ILLS), M.ill_renderings, "title string, display string", ["x"], ["p_partkey"]).drop("ord")
+    return R.ill_renderings(_texts(s, d, _ILLS)).withColumnRenamed("id", "p_partkey")
 
 
 def q_lost_boxes(s, d):
-    boxed = _part(s, d, "'{{Infobox a|' || p_name || '}}{{Kuti b}}'", "repeat('{{Kuti c}}', p_size % 3) || p_brand AS y")
-    return T.mapped(boxed, lambda x, y: (M.with_boxes(y, M.lost_boxes(x, y)), len(M.lost_boxes(x, y))), "text string, lost long", "x", "y").drop("x", "y")
+    source, made = _texts(s, d, "'{{Infobox a|' || p_name || '}}{{Kuti b}}'"), _texts(s, d, "repeat('{{Kuti c}}', p_size % 3) || p_brand")
+    return R.with_lost_boxes(source, made).select(F.col("id").alias("p_partkey"), "text", F.col("n").alias("lost"))
 
 
 def q_note_groups(s, d):
-    return T.mapped(_part(s, d, _NOTED), lambda x: (M.implicit_note_group(x),), "implicit boolean", "x").drop("x")
+    return R.implicit_note_groups(_texts(s, d, _NOTED)).withColumnRenamed("id", "p_partkey")
 
 
 def q_note_counts(s, d):
-    return T.exploded(_part(s, d, _NOTED), lambda x: list(M.note_counts(x).items()), "name string, n long", ["x"], ["p_partkey"]).drop("ord")
+    return R.note_counts(_texts(s, d, _NOTED)).withColumnRenamed("id", "p_partkey")
 
 
 def q_protected_spans(s, d):
-    return T.exploded(_part(s, d, _PROTECTED), K.protected_spans, "s long, e long", ["x"], ["p_partkey"])
+    return E.protected_spans(_texts(s, d, _PROTECTED)).withColumnRenamed("id", "p_partkey")
 
 
 def q_free_units(s, d):
-    return T.exploded(_part(s, d, _UNITS), lambda x: [(u,) for u in K.free_units(x, 6)], "unit string", ["x"], ["p_partkey"])
+    return X.free_units(_texts(s, d, _UNITS), 6).select(F.col("id").alias("p_partkey"), F.col("ord").cast("long").alias("ord"), "unit")
 
 
 def q_section_pieces(s, d):
-    docs = _t(s, d, "documents", "doc_id", "coalesce(text, '') AS x")
-    out = T.exploded(docs, lambda x: [(p, K.token_count(p)) for p in K.section_pieces(x, 50, 200)], "piece string, tokens long", ["x"], ["doc_id"])
-    return out.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda r: r["piece"]), ""), 256).alias("joined"))
+    out = X.section_pieces(_t(s, d, "documents", "doc_id AS id", "coalesce(text, '') AS text"), 50, 200)
+    return out.groupBy(F.col("id").alias("doc_id")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda r: r["text"]), ""), 256).alias("joined"))
+
+
+def q_packed_lines(s, d):
+    """Lines of documents as units, their blanks as sizes."""
+    lines = _t(s, d, "documents", "doc_id AS id", "posexplode(split(coalesce(text, ''), '\n')) AS (i, line)").selectExpr("id", "i", "length(line) - length(replace(line, ' ', '')) AS n")
+    return X.packed(lines, 40, 90).groupBy("id", "piece").agg(F.min("i").alias("first"), F.count("*").alias("lines"))
 
 
 def q_article_chunks(s, d):
     body = f"'lead ' || source || {_N} || '== A ==' || {_N} || coalesce(text, '') || {_N} || '== B ==' || {_N} || lang"
-    out = T.article_chunks(_t(s, d, "documents", "doc_id AS article", f"{body} AS text"), 5, 40)
+    sections = X.sectioned(_t(s, d, "documents", "doc_id AS article", f"{body} AS text"))
+    out = X.article_chunks(sections, 5, 40)
     return out.groupBy("article").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"]), "").alias("text"), F.array_join(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "titles"))), lambda r: r["titles"]))), "|").alias("titles"))
 
 
@@ -146,25 +160,26 @@ def q_saved_pieces(s, d):
 
 
 def q_english_params(s, d):
-    return _text(s, d, _PARAM, lambda x: (W.english_params(x)[0], len(W.english_params(x)[1])))
+    return R.english_params(_texts(s, d, _PARAM)).withColumnRenamed("id", "p_partkey")
 
 
 def q_page_params(s, d):
-    return _text(s, d, _PAGES, W.page_params)
+    return R.page_params(_texts(s, d, _PAGES)).withColumnRenamed("id", "p_partkey")
 
 
 def q_citation_languages(s, d):
-    guessed = _t(s, d, "part", "p_partkey", "'{{cite web|title=' || p_name || '|url=u' || p_size % 3 || CASE WHEN p_size % 4 = 0 THEN '|lang=x' ELSE '' END || '}}' AS x", "CASE WHEN p_size % 3 > 0 THEN 'l' || p_size % 3 END AS by_url", "CASE WHEN p_size % 5 = 0 THEN 'fr' END AS by_title", "'u' || p_size % 3 AS url", "p_name AS title")
-    fill = lambda x, u, t, url, title: W.with_languages(x, {url: u} if u else {}, {title: t} if t else {})
-    return T.mapped(guessed, fill, "text string, n long", "x", "by_url", "by_title", "url", "title").select("p_partkey", "text", "n")
+    texts = _texts(s, d, "'{{cite web|title=' || p_name || '|url=u' || p_size % 3 || CASE WHEN p_size % 4 = 0 THEN '|lang=x' ELSE '' END || '}}'")
+    by_url = _t(s, d, "part", "p_partkey AS id", "'u' || p_size % 3 AS url", "CASE WHEN p_size % 3 > 0 THEN 'l' || p_size % 3 END AS lang")
+    by_title = _t(s, d, "part", "p_partkey AS id", "p_name AS title", "CASE WHEN p_size % 5 = 0 THEN 'fr' END AS lang")
+    return R.with_languages(texts, by_url, by_title).withColumnRenamed("id", "p_partkey")
 
 
 def q_unwrapped_notes(s, d):
-    return _text(s, d, _WRAPPED, W.unwrapped_notes)
+    return R.unwrapped_notes(_texts(s, d, _WRAPPED)).withColumnRenamed("id", "p_partkey")
 
 
 def q_plain_notes(s, d):
-    return _text(s, d, _WRAPPED, W.plain_notes)
+    return R.plain_notes(_texts(s, d, _WRAPPED)).withColumnRenamed("id", "p_partkey")
 
 
 def q_nested_notes(s, d):
@@ -192,7 +207,7 @@ def q_age_calls(s, d):
 
 
 def q_agencies(s, d):
-    return _text(s, d, _AGENCY, W.without_agencies)
+    return R.without_agencies(_texts(s, d, _AGENCY)).withColumnRenamed("id", "p_partkey")
 
 
 def q_merged_references(s, d):
@@ -286,6 +301,11 @@ ORACLE_SQL = {
         SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY i, j) - 1 AS BIGINT) AS ord, unit FROM r""",
     ),
     "section_pieces": "SELECT doc_id, sha256(coalesce(text, '')) AS joined FROM documents",
+    "packed_lines": """WITH RECURSIVE l AS (SELECT doc_id AS id, unnest(range(len(a))) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+      u AS (SELECT id, i, length(line) - length(replace(line, ' ', '')) AS n FROM l),
+      p AS (SELECT id, i, n, 0 AS piece, n AS size FROM u WHERE i = 0
+        UNION ALL SELECT id, i, n, CASE WHEN new THEN piece + 1 ELSE piece END, CASE WHEN new THEN n ELSE size + n END FROM (SELECT u.id, u.i, u.n, p.piece, p.size, p.n > 90 OR p.size >= 40 OR (u.n <= 90 AND p.size + u.n > 90) AS new FROM p JOIN u ON u.id = p.id AND u.i = p.i + 1))
+      SELECT id, CAST(piece AS BIGINT) AS piece, CAST(min(i) AS INT) AS first, count(*) AS lines FROM p GROUP BY id, piece""",
     "article_chunks": "SELECT doc_id AS article, 'lead ' || source || chr(10) || '== A ==' || chr(10) || coalesce(text, '') || chr(10) || '== B ==' || chr(10) || lang AS text, 'Lead|A|B' AS titles FROM documents",
     "saved_pieces": "SELECT p_partkey, unnest([0, 1, 2])::BIGINT AS ord, unnest(['(lead)', p_name, 'C']) AS title, unnest(['lead' || chr(10), '== ' || p_name || ' ==' || chr(10) || p_brand || chr(10), '=== C ===' || chr(10) || 'x']) AS text FROM part",
     "english_params": _over(_PARAM, "SELECT p_partkey, CASE WHEN contains(x, '|title=') THEN y ELSE replace(y, 'web|titulli=', 'web|title=') END AS text, CAST(1 + CAST(NOT contains(x, '|title=') AS INT) AS BIGINT) AS n FROM (SELECT p_partkey, x, replace(x, '|autori2=', '|author2=') AS y FROM p)"),
