@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import relational as R
-from . import markup, pairing, stores, streams, wiki
+from . import markup, pairing, rows, stores, streams, wiki
 
 FLAGSHIP = "locate_findings"
 
@@ -127,7 +127,7 @@ def q_same_article(s, d):
     return p.select("page_id", T.same_article(F.col("html"), T.strip_html(F.col("html"))).alias("same"))
 
 
-QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")} | markup.QUERIES | pairing.QUERIES | wiki.QUERIES | stores.QUERIES | streams.QUERIES
+QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")} | markup.QUERIES | pairing.QUERIES | wiki.QUERIES | stores.QUERIES | streams.QUERIES | rows.QUERIES
 
 _SPANS = "(SELECT user_id AS id, event_id % 500 AS s, event_id % 500 + 1 + CAST(trunc(value) AS BIGINT) % 5 AS e FROM events)"
 _MERGED = f"""(SELECT id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN top IS NULL OR s > top THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island
@@ -171,4 +171,4 @@ ORACLE_SQL = {
     "titles": "SELECT p_partkey, upper(left(p_name, 1)) || substr(p_name, 2) AS title, regexp_replace(replace(trim(' a:b/' || p_name), ' ', '_'), '[\\\\/:*?\"<>|]', '_', 'g') AS file FROM part",
     "link_targets": "SELECT p_partkey, CASE WHEN w = b THEN b ELSE w || '|' || b END AS targets FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS w, split_part(p_brand, '#', 1) AS b FROM part)",
     "same_article": "SELECT page_id, strlen(trim(regexp_replace(html, '<[^>]+>', '', 'g'))) / strlen(html) BETWEEN 0.65 AND 1.5 AS same FROM pages",
-} | markup.ORACLE_SQL | pairing.ORACLE_SQL | wiki.ORACLE_SQL | stores.ORACLE_SQL | streams.ORACLE_SQL
+} | markup.ORACLE_SQL | pairing.ORACLE_SQL | wiki.ORACLE_SQL | stores.ORACLE_SQL | streams.ORACLE_SQL | rows.ORACLE_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import checks as C, chunks as K, rewrites as W, wiki as M
-from ..operators import cutting as X, elements as E, pairing as P, rewriting as R, wikitext as T
+from ..operators import cutting as X, elements as E, folds as O, pairing as P, rewriting as R, wikitext as T
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -93,7 +93,7 @@ def q_template_findings(s, d):
 
 
 def q_table_spans(s, d):
-    return _found(s, d, _GRID, C.table_findings)
+    return O.off_rows(_texts(s, d, _GRID)).select(F.col("id").alias("p_partkey"), F.lit("table_span_mismatch").alias("kind"), F.col("line").cast("int").alias("line"))
 
 
 def q_valid_texts(s, d):
@@ -224,8 +224,7 @@ def q_hatnotes(s, d):
 
 
 def q_settled_comments(s, d):
-    both = _part(s, d, _COMMENTED, f"{_COMMENTS} AS y")
-    return T.mapped(both, lambda x, y: (W.settled_comments(y, x)[0], len(W.settled_comments(y, x)[1])), "text string, gone long", "x", "y").drop("x", "y")
+    return O.settled_comments(_texts(s, d, _COMMENTS), _texts(s, d, _COMMENTED)).select(F.col("id").alias("p_partkey"), "text", F.col("n").alias("gone"))
 
 
 def q_expanded_notes(s, d):
