@@ -116,14 +116,14 @@ class Batch:
         self.parts = [Part(blob, offsets) for _, _, blob, offsets in blobs(texts, 2 << 20)]
 
     def anchors(self):
-        """(slot, values, occurrences up to 255, which part, gram) of the anchors, each value once per slot."""
+        """(slot, values, occurrences, which part, gram) of the anchors, each value once per slot."""
         at = [np.flatnonzero(p.anchor) for p in self.parts]
         h = np.concatenate([p.gram[a] for p, a in zip(self.parts, at, strict=True)] or [np.zeros(0, np.uint64)])
         part = np.repeat(np.arange(len(at)), [len(a) for a in at])
         at = np.concatenate(at or [np.zeros(0, np.int64)])
         for slot, own in by_slot(h >> _SHORT, (h & self.slots).astype(np.int64)):
             values, which, n = np.unique(h[own] >> _SHORT, return_inverse=True, return_counts=True)
-            yield slot, values, np.minimum(n, 255).astype(np.uint8), part[own], at[own], which
+            yield slot, values, n.astype("<u4"), part[own], at[own], which
 
     def segments(self, answers: dict[int, bytes]):
         """(part, segments, whether each segment's anchor is hot) after the answers about anchors."""
@@ -178,7 +178,7 @@ def twice(bodies: list[bytes], hot: int = HOT) -> list[bytes]:
     """Masks: does the anchor occur twice anywhere, and more than ``hot`` times."""
     got = [opened(b, 5) for b in bodies]
     values = np.concatenate([v for v, _ in got])
-    times = np.concatenate([np.frombuffer(m[0], np.uint8) for _, m in got])
+    times = np.concatenate([np.frombuffer(m[0], "<u4") for _, m in got])
     _, back = np.unique(values, return_inverse=True)
     n = np.bincount(back, times)[back] if len(back) else times
     out, at = [], 0

@@ -171,7 +171,7 @@ def _pack(table: pa.Table, level: int, capacity: int, nearly: int, carry: int, s
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, node_items: int = 50_000, fan_in: int = 8, carry: int = 1024, nearly: float = 0.99) -> DataFrame:
-    """items with a length from 1 to capacity, each with sequence_id and offset."""
+    """items with a length from 1 to capacity, each with sequence_id and offset; a written table, whose rows are numbered alike in every attempt."""
     full = items.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = items.where(F.col("length") < capacity)
     nodes = max(1, -(-rest.count() // node_items))
@@ -181,7 +181,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, node_items: int = 50_000, f
     def packer(level: int, size: str):
         return lambda t: _pack(t, level, capacity, few, carry, size)
 
-    key = F.pmod(F.xxhash64(*[c for c in items.columns]), F.lit(nodes))
+    key = F.pmod(F.xxhash64(*items.columns, F.monotonically_increasing_id()), F.lit(nodes))  # equal rows are dealt over all nodes
     packed = written(rest.withColumn("node", key).groupBy("node").applyInArrow(packer(1, "length"), f"{kinds}, {extra}"), "packed")
     bins, out, level = packed.where("up and place = 0").select("node", "bin", "fill"), packed.drop("node", "fill", "up"), 1
     while nodes > 1:

@@ -146,3 +146,14 @@ def test_small_batches_only_lowers_the_bound(spark):
         assert spark.conf.get(BATCH_BYTES).rstrip("b") == "1000"
     finally:
         spark.conf.unset(BATCH_BYTES)
+
+
+def test_equal_rows_are_dealt_over_all_nodes(spark):
+    from pyspark.sql import functions as F
+
+    items = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(100).cast("long").alias("length"))
+    out = residual_packing.pack(items, capacity=1000, node_items=200).collect()
+    assert len(out) == 3000 and len({(r.sequence_id, r.offset) for r in out}) == 3000
+    nodes = Counter(r.sequence_id >> 30 & 0x3FFFFFF for r in out)
+    assert len(nodes) > 8 and max(nodes.values()) < 600
+    assert len({r.sequence_id for r in out}) <= 320

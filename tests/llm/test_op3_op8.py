@@ -107,5 +107,16 @@ def test_hot_anchors_are_told_from_others():
     import numpy as np
 
     values = np.array([3, 9, 12], np.uint64)
-    out = columnwise_suffix.twice([message(values, 5, bytes([1, 2, 200])), message(values[2:], 5, bytes([100]))], 250)
+    times = lambda *n: np.array(n, "<u4").tobytes()
+    out = columnwise_suffix.twice([message(values, 5, times(1, 2, 200)), message(values[2:], 5, times(100))], 250)
     assert unbits(out[0], 6).tolist() == [False, True, True, False, False, True]
+    out = columnwise_suffix.twice([message(values[:1], 5, times(30_000))] * 2, 50_000)
+    assert unbits(out[0], 2).tolist() == [True, True]
+
+
+def test_an_anchor_that_repeats_in_one_batch_is_counted_whole():
+    import numpy as np
+    import pyarrow as pa
+
+    batch = columnwise_suffix.Batch(np.array([1]), pa.array([("ab" * 3000).encode()], pa.large_binary()), 1)
+    assert max(int(n.max()) for _, _, n, _, _, _ in batch.anchors()) > 255
