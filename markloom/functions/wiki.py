@@ -317,34 +317,3 @@ def extended_references(text: str) -> str:
         if end > close.end():
             edits.append((close.start(), end, text[first:end] + "\n</references>"))
     return edited(text, edits)
-
-
-def merged_references(text: str) -> tuple[str, int]:
-    """R18. A list closed twice in a section loses the closer in between; headings and openers start anew. Lines, and how many went."""
-    lines, gone = text.split("\n"), set()
-    open_list, closed = False, None
-    for i, line in enumerate(lines):
-        low = line.strip().lower()
-        if is_heading(line):
-            closed = None
-        elif re.search(r"<references\b[^>]*(?<!/)>", low):
-            open_list, closed = True, None
-        elif low == "</references>":
-            if open_list:
-                open_list, closed = False, i
-            elif closed is not None:
-                gone.add(closed)
-                closed = None
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
-
-
-def without_redirect_notes(text: str) -> tuple[str, int]:
-    """R17. Templates named redirect… with parameters that stand alone on their lines go, with the line's end."""
-    m, edits = Markup(text), []
-    for e in m.of("template"):
-        a = text.rfind("\n", 0, e.start) + 1
-        z = text.find("\n", e.end)
-        z = len(text) if z < 0 else z
-        if e.pipes and re.fullmatch(r"redirect[\w -]*", m.name_of(e).lower()) and not (text[a : e.start] + text[e.end : z]).strip(" \t"):
-            edits.append((a, min(z + 1, len(text)), ""))
-    return edited(text, edits), len(edits)

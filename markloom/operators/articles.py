@@ -12,8 +12,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import chunks as K, rewrites as W, wiki as M
-from ..functions.checks import assembled
-from . import engine as E, relational as R, stores as S, wikitext as T
+from ..functions.checks import validated
+from . import engine as E, layout as L, quality as Q, relational as R, stores as S, wikitext as T
 
 DEPTH = 40
 
@@ -66,16 +66,13 @@ def expanded(articles: DataFrame, factory: Callable[[str], Wiki], lang: str) ->
     return T.mapped(articles, lambda title, text: (wiki_of(lang, factory).expand(text, str(title)),), "text string", "article", "text")
 
 
-def prepared(text: str) -> str:
-    """R21. The rewrites of a source before it is cut: note list names, defining R calls, notes."""
-    return W.expanded_notes(W.expanded_r(text)[0])[0]
-
-
 def planned(articles: DataFrame, least: int = K.CHUNK_MIN, most: int = K.CHUNK_MAX) -> DataFrame:
-    """R21. articles (article, text): the chunks of the prepared texts with what the engine needs: (article, ord, section, text, tokens, is_complex)."""
+    """R21. articles (article, text): the chunks of their texts, after the rewrites of a source (note list names, notes, defining R calls), with what the engine needs: (article, ord, section, text, tokens, is_complex)."""
     from ..functions.markup import is_complex, plain_notelists
 
-    ready = T.mapped(articles.withColumn("text", plain_notelists(F.coalesce("text", F.lit("")))), lambda x: (prepared(x),), "text string", "text")
+    source = articles.select(F.col("article").alias("id"), plain_notelists(F.coalesce("text", F.lit(""))).alias("text"))
+    noted = L.expanded_notes(source).select(F.col("id").alias("article"), "text")
+    ready = T.mapped(noted, lambda x: (W.expanded_r(x)[0],), "text string", "text")
     cut = T.article_chunks(ready, least, most)
     return cut.select("article", "ord", F.array_join("titles", "; ").alias("section"), "text", "tokens", is_complex(F.col("text")).alias("is_complex"))
 
@@ -86,8 +83,10 @@ def processed(articles: DataFrame, store: DataFrame, name: str, factory: Callabl
     made = E.translated(chunks, store, name, factory).select("article", "ord", "text", "made")
     state, _ = E.repair_rounds(E.checkpointed(made), name, factory)
     whole = S.partial_articles(state.select("article", "ord", F.lit("").alias("section"), F.lit("translated").alias("status"), F.col("made").alias("text")))
-    final = T.mapped(whole, lambda x: (W.ordered(x)[0],), "text string", "text")
-    return T.mapped(final, lambda x: (len(assembled(x)),), "findings long", "text").select("article", "text", "findings")
+    final = L.ordered(whole.select(F.col("article").alias("id"), "text"))
+    gate = Q.qa_findings(final).groupBy("id").agg(F.count("*").alias("n"))
+    checked = T.mapped(final.join(gate, "id", "left"), lambda x, n: (len(validated(x)) + (n or 0),), "findings long", "text", "n")
+    return checked.select(F.col("id").alias("article"), "text", "findings")
 
 
 def rereviewed(saved: DataFrame, reviewer: tuple[str, Callable[[], E.Engine]], mender: tuple[str, Callable[[], E.Engine]]) -> DataFrame:

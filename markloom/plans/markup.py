@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import markup as M, wiki as W
-from ..operators import records as R, wikitext as T
+from ..functions import markup as M
+from ..operators import layout as L, records as R
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -84,7 +84,7 @@ def q_archive_urls(s, d):
 
 
 def q_redirect_notes(s, d):
-    return T.mapped(_t(s, d, "part", "p_partkey", f"{_NOTES} AS x"), lambda x: (W.without_redirect_notes(x)[0],), "text string", "x").drop("x")
+    return L.without_redirect_notes(_t(s, d, "part", "p_partkey AS id", f"{_NOTES} AS text")).select(F.col("id").alias("p_partkey"), "text")
 
 
 def q_source_refs(s, d):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import checks as C, chunks as K, rewrites as W, wiki as M
-from ..operators import cutting as X, elements as E, folds as O, pairing as P, rewriting as R, wikitext as T
+from ..functions import checks as C, chunks as K, rewrites as W
+from ..operators import cutting as X, elements as E, folds as O, layout as L, pairing as P, quality as Q, rewriting as R, wikitext as T
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -89,7 +89,10 @@ def q_repetitive(s, d):
 
 
 def q_template_findings(s, d):
-    return T.findings(_part(s, d, _CALLS), C.template_findings, "x", ["p_partkey"]).select("p_partkey", "kind", "severity", "line", "snippet")
+    texts = _texts(s, d, _CALLS)
+    found = Q.placed(Q.template_findings(texts), texts).join(texts, "id")
+    severity = F.when(F.col("kind") == "sfn_unsupported_param", "warning").otherwise("error")
+    return found.select(F.col("id").alias("p_partkey"), "kind", severity.alias("severity"), F.col("line").cast("int").alias("line"), E.cut(F.col("text"), F.col("at"), F.col("e")).alias("snippet"))
 
 
 def q_table_spans(s, d):
@@ -101,11 +104,14 @@ def q_valid_texts(s, d):
 
 
 def q_qa_findings(s, d):
-    return _found(s, d, _CITES, C.qa_findings)
+    texts = _texts(s, d, _CITES)
+    return Q.placed(Q.qa_findings(texts), texts).select(F.col("id").alias("p_partkey"), "kind", F.col("line").cast("int").alias("line"))
 
 
 def q_assembled_findings(s, d):
-    return _found(s, d, _REFS, C.assembled).groupBy("p_partkey").agg(F.count("*").alias("n"))
+    texts = _texts(s, d, _REFS)
+    rest = _found(s, d, _REFS, C.validated).select("p_partkey")
+    return rest.unionByName(Q.qa_findings(texts).select(F.col("id").alias("p_partkey"))).groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
 def q_template_names(s, d):
@@ -183,7 +189,7 @@ def q_plain_notes(s, d):
 
 
 def q_nested_notes(s, d):
-    return _text(s, d, _NESTED, W.nested_notes)
+    return L.nested_notes(_texts(s, d, _NESTED)).withColumnRenamed("id", "p_partkey")
 
 
 def q_expanded_r(s, d):
@@ -191,19 +197,19 @@ def q_expanded_r(s, d):
 
 
 def q_unnested_ills(s, d):
-    return _text(s, d, _LINKED, W.unnested_ills)
+    return L.unnested_ills(_texts(s, d, _LINKED)).withColumnRenamed("id", "p_partkey")
 
 
 def q_right_dates(s, d):
-    return _text(s, d, _DATED, W.right_dates)
+    return L.right_dates(_texts(s, d, _DATED)).withColumnRenamed("id", "p_partkey")
 
 
 def q_right_as_of(s, d):
-    return _text(s, d, _AS_OF, W.right_as_of)
+    return L.right_as_of(_texts(s, d, _AS_OF)).withColumnRenamed("id", "p_partkey")
 
 
 def q_age_calls(s, d):
-    return _text(s, d, _AGES, W.age_words)
+    return L.age_words(_texts(s, d, _AGES)).withColumnRenamed("id", "p_partkey")
 
 
 def q_agencies(s, d):
@@ -211,16 +217,16 @@ def q_agencies(s, d):
 
 
 def q_merged_references(s, d):
-    return _text(s, d, _SPLIT, M.merged_references)
+    return L.merged_references(_texts(s, d, _SPLIT)).withColumnRenamed("id", "p_partkey")
 
 
 def q_ordered_rewrites(s, d):
-    return _text(s, d, _PARAM, lambda x: (W.ordered(x)[0], len(W.ordered(x)[1])))
+    return L.ordered(_texts(s, d, _PARAM)).select(F.col("id").alias("p_partkey"), "text", F.size("steps").cast("long").alias("n"))
 
 
 def q_hatnotes(s, d):
-    hats = _part(s, d, _HATS, f"{_HAT_SOURCES} AS y", "p_brand AS missing")
-    return T.mapped(hats, lambda x, y, m: (W.linked_hatnotes(x, y, {m})[0],), "text string", "x", "y", "missing").select("p_partkey", "text")
+    missing = _t(s, d, "part", "p_partkey AS id", "p_brand AS title")
+    return L.linked_hatnotes(_texts(s, d, _HATS), _texts(s, d, _HAT_SOURCES), missing).select(F.col("id").alias("p_partkey"), "text")
 
 
 def q_settled_comments(s, d):
@@ -228,7 +234,7 @@ def q_settled_comments(s, d):
 
 
 def q_expanded_notes(s, d):
-    return T.mapped(_part(s, d, _CREFS), lambda x: (lambda r: (r[0], r[1], "|".join(r[2]), "|".join(r[3])))(W.expanded_notes(x)), "text string, n long, lost string, idle string", "x").drop("x")
+    return L.expanded_notes(_texts(s, d, _CREFS)).select(F.col("id").alias("p_partkey"), "text", "n", F.array_join("lost", "|").alias("lost"), F.array_join("idle", "|").alias("idle"))
 
 
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}

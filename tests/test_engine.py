@@ -2,7 +2,7 @@
 
 import pytest
 
-from markloom.operators import articles as A, engine as E, relational as R, stores as S, wikitext as T
+from markloom.operators import articles as A, engine as E, relational as R, wikitext as T
 from markloom.sources import config as C
 from markloom.streaming import queue
 
@@ -31,12 +31,6 @@ def test_prompts_hold_their_text():
     assert E.judge_prompt("s", list("abcdef")).count(": ") == 4
 
 
-def test_review_replies():
-    assert E.findings_of('x ```json\n[{"message": " m ", "kind": "odd", "severity": "WARNING", "snippet": ""}, {"kind": "grammar"}, 3]\n``` y') == [("semantic_fidelity", "m", "warning", None)]
-    assert E.findings_of('see [{"message": "a", "kind": "grammar", "snippet": "b"}]') == [("grammar", "a", "error", "b")]
-    assert E.findings_of("none") == E.findings_of("[broken") == []
-
-
 def test_guards():
     assert E.guarded("{{efn|a}}", "x") == "{{efn|a}}" and E.guarded("a", "b") == "b" and E.guarded("a", " ") == "a"
     assert not E.usable("{{Infobox a}}t", "t") and E.usable("t", "u") and not E.usable("t", "{{")
@@ -122,3 +116,9 @@ def test_tables_keep_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, None, "own")], "id long, x string, y string")
     assert [tuple(r) for r in T.mapped(df, lambda x: (x + "!",), "y string", "x").collect()] == [(1, None, "!")]
     assert T.mapped(df.limit(0), lambda x: (x,), "y string", "x").count() == 0
+
+
+def test_review_replies(spark):
+    replies = ['x ```json\n[{"message": " m ", "kind": "odd", "severity": "WARNING", "snippet": ""}, {"kind": "grammar"}]\n``` y', 'see [{"message": "a", "kind": "grammar", "snippet": "b"}]', "none", "[broken", None]
+    got = [tuple(r) for r in E.review_findings(spark.createDataFrame(list(enumerate(replies)), "article int, reply string")).collect()]
+    assert got == [(0, 0, "semantic_fidelity", "m", "warning", None), (1, 0, "grammar", "a", "error", "b")]

@@ -29,7 +29,7 @@ def test_elements_of_random_marks_are_well_nested():
             for f in m.elements[i + 1 :]:
                 assert f.start >= e.end or f.end <= e.end
         assert "".join(K.cut_after(text, [b for _, b in K.protected_spans(text)])) == text
-        C.validated(text), C.qa_findings(text)
+        C.validated(text)
 
 
 @pytest.mark.parametrize(
@@ -66,36 +66,6 @@ def test_snippets_and_repetition():
     assert C.masked("a<pre>b\nc</pre>d") == "a      \n       d"
 
 
-@pytest.mark.parametrize(
-    "text, want",
-    [
-        ("{{cite web|url=http://x|language=en, grc}}", ["qa_language_grc"]),
-        ("{{cite web|url=http://x|date=2019-03}}", ["qa_bare_month_date"]),
-        ("{{cite web|url=http://x|date=2019-03-01}}", []),
-        ("{{cite web|url=http://x|date=Prill 2020}}", ["qa_albanian_month_date"]),
-        ("{{Shih edhe|A}}", ["qa_shih_edhe_template"]),
-        ("{{Main|[[A]]}}", ["qa_hatnote_wrapped_param"]),
-        ("{{tlit|grc|a}}", ["qa_broken_transliteration"]),
-        ("{{native name|sq|a}} {{native name list|a}}", ["qa_broken_native_name"]),
-        ("{{cite tweet|user=a}}", ["qa_cite_tweet"]),
-        ("[[File:a.jpg|mini|b]]", ["qa_miniature_option"]),
-        ("{{cite web|title=A|url=}}", ["qa_cite_web_no_url"]),
-        ("{{cite book|chapter-url=http://a|access-date=x}}", []),
-        ("{{cite book|title=a|access-date=2020-01-01}}", ["qa_cite_orphan_url_qualifier"]),
-        ("{{sfnmp|1a1=A|1y=1990|2a1=B|2y=1991|2y=1992}}", ["qa_sfnmp_duplicate_param", "qa_missing_reflist"]),
-        ("a<ref>b</ref>", ["qa_missing_reflist"]),
-        ("a<ref>b</ref>{{Reflist}}", []),
-    ],
-)
-def test_delivery_findings(text, want):
-    assert [f[0] for f in C.qa_findings(text)] == want
-    assert len(C.assembled(text)) >= len(want)
-
-
-def test_missing_list_is_on_the_last_line():
-    assert C.qa_findings("a<ref>b</ref>\nc\nd")[0][3] == 3
-
-
 def test_cuts_keep_all_text():
     rng = random.Random(3)
     body = lambda n: " ".join(f"w{rng.randrange(99)}" + rng.choice(["", ".", ",", "\n\n"]) for _ in range(n))
@@ -142,14 +112,10 @@ def test_reference_blocks():
     assert M.extended_references("<references></references>\n<ref>b</ref> <!-- c -->\n<REF>d</ref> end") == "<references><ref>b</ref> <!-- c -->\n<REF>d</ref>\n</references> end"
     many = "<references></references>" + "\n<ref>b</ref>" * 100_000
     assert M.extended_references(many).endswith("<ref>b</ref>\n</references>") and M.is_reference_only(many)
-    text = "== R ==\n<references>\n<ref>a</ref>\n</references>\n<ref>b</ref>\n</references>\n== S ==\n</references>"
-    assert M.merged_references(text) == ("== R ==\n<references>\n<ref>a</ref>\n<ref>b</ref>\n</references>\n== S ==\n</references>", 1)
-    assert M.without_redirect_notes("a\n {{Redirect-x|b|{{c}}}} \nd {{redirect|e}}\n" + "{{redirect|{{x}}" + "{{y}}" * 5000 + "}}") == ("a\nd {{redirect|e}}\n", 2)
 
 
 def test_citation_rewrites():
     assert W.english_params("{{Cite web| titulli =A|redaktori1=B|data=1|date=2}}{{x|titulli=q}}") == ("{{Cite web| title =A|editor1=B|data=1|date=2}}{{x|titulli=q}}", [("titulli", "title"), ("redaktori1", "editor1")])
-    assert W.page_params("{{sfn|A|1990|f=3}}{{sfn|A|1990|f. 161}}{{harvnb|B|2000|fq. 4-5}}") == ("{{sfn|A|1990|p=3}}{{sfn|A|1990|p=161}}{{harvnb|B|2000|pp=4-5}}", 3)
     assert W.with_languages("{{cite web|title=T|url=u}}{{cite web|lang=en|url=u}}", {"u": "de"}, {"T": "fr"}) == ("{{cite web|title=T|url=u|language=fr}}{{cite web|lang=en|url=u}}", 1)
     assert W.unwrapped_notes("<ref> {{sfn|A|1}} </ref><ref name=x>{{sfn|A|1}}</ref><ref>{{sfn|A|1}} t</ref>")[0] == "{{sfn|A|1}}<ref name=x>{{sfn|A|1}}</ref><ref>{{sfn|A|1}} t</ref>"
     assert W.plain_notes("<ref>{{Sfn |A|1}}, {{sfnp|B}}</ref>{{sfn|C}}") == ("<ref>{{harvnb |A|1}}, {{harvp|B}}</ref>{{sfn|C}}", 2)
@@ -161,26 +127,3 @@ def test_citation_rewrites():
 
 def test_layout_rewrites():
     assert W.unnested_ills("[[{{ill|A|en|B}}|lab]] [[{{ill|A|en|B}}]] [[X|{{ill|A|en|B}}]] [[{{ill|A|en}}|A]]") == ("{{ill|A|en|B|lt=lab}} {{ill|A|en|B}} {{ill|A|en|B}} {{ill|A|en}}", 4)
-    dated = lambda d: W.right_dates("{{cite web|date=" + d + "}}")[0][16:-2]
-    assert [dated(d) for d in ("February 2019", "27 November 2025", "Jan 5, 2020", "Dhjetor 2021", "2008-03", "2008-03-01")] == ["February 2019", "2025-11-27", "2020-01-05", "December 2021", "March 2008", "2008-03-01"]
-    assert W.right_dates("{{cite web|archive-url=http://web.archive.org/web/20200129133126/x|archive-date=1 May 2000}}")[0].endswith("|archive-date=2020-01-29}}")
-    assert W.right_as_of("Text {{As of|2021|4|lang=sq}}. {{as of|April 5, 2020}} {{As of|2019}}") == ("Text {{As of|2021|alt=që nga prilli 2021}}. {{As of|2020|alt=Që nga 5 prilli 2020}} {{As of|2019}}", 2)
-    assert W.age_words("{{Age in years and days|1946|02|02|1952|11|10}}{{age in years and days|1946|2|2}}") == ("6 vjet, 282 ditë", 2)
-    assert W.age_words("{{age in years and days|1896|2|29|1900|3|1}}")[0] == "4 vjet, 1 ditë"
-    text = "{{Cite web|titulli=A|data=27 November 2025}}<ref>{{sfn|A|1}}</ref>"
-    once, steps = W.ordered(text)
-    assert once == "{{Cite web|title=A|date=2025-11-27}}{{sfn|A|1}}" and len(steps) == 3 and W.ordered(once) == (once, [])
-
-
-def test_pairing_rewrites():
-    made = "{{Kryesor|Një}}\n{{Kryesor|Dy|Tre}}\n{{Shih|X}}"
-    source = "{{Main|One}}\n{{Main|Two|Three}}\n{{Further|Y}}"
-    assert W.linked_hatnotes(made, source, {"Dy"}) == ("{{Kryesor|Një}}\n{{Hatnote|Artikulli kryesor: {{ill|Dy|en|Two}} dhe [[Tre]]}}\n{{Shih|X}}", ["Dy"])
-    assert W.settled_comments("a <!-- keep --> b", "a <!-- mbaj --> b\n<!-- mine -->\nc") == ("a <!-- Nga en.wiki: mbaj --> b\nc", ["mine"])
-    done = "a <!-- Nga en.wiki: mbaj --> b"
-    assert W.settled_comments("a <!-- keep --> b", done) == (done, [])
-    text = "A{{Cref2|a}} B{{cref2|a}} C{{cref2|z}}\n{{Cnote2 Begin|liststyle=lower-alpha}}\n{{Cnote2|a|Note {{sfn|X|1}}<ref>r</ref>}}\n{{Cnote2|b|Un}}\n{{Cnote2 End}}\n\n\nEnd"
-    out, n, lost, idle = W.expanded_notes(text)
-    assert n == 2 and lost == ["z"] and idle == ["b"]
-    assert out == 'A<ref name="cnote-a" group="lower-alpha">Note {{harvnb|X|1}}</ref><ref>r</ref> B<ref name="cnote-a" group="lower-alpha" /> C{{cref2|z}}\n{{Reflist|group=lower-alpha}}\n\nEnd'
-    assert W.expanded_notes("no notes") == ("no notes", 0, [], [])
