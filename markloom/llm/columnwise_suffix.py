@@ -314,6 +314,11 @@ def repeated(bodies: list[bytes], block: int = BLOCK) -> list[bytes]:
         open_ = np.bincount(back, ~hit, minlength=len(n)) > 0
         maybe = (n[back] > 1) & open_[back]
         lively = np.unique(seg[maybe])
+        # a segment's part from its first open window to the end of its last one
+        at = left[some[seg[maybe]]] - x[maybe]
+        low, high = np.full(len(known), 1 << 30), np.zeros(len(known), np.int64)
+        np.minimum.at(low, seg[maybe], at)
+        np.maximum.at(high, seg[maybe], at + WINDOW)
         grams = np.ascontiguousarray(data[first[lively][:, None] + np.arange(GRAM)[None, :]]).view(f"V{GRAM}").ravel()
         _, anchor, times = np.unique(grams, return_inverse=True, return_counts=True)
         large = times[anchor] > block
@@ -325,10 +330,10 @@ def repeated(bodies: list[bytes], block: int = BLOCK) -> list[bytes]:
             to = int(ends[np.searchsorted(ends, at + block, side="right") - 1])
             own = small[at:to]
             at = to
-            c = Collection([raw[begin[some[i]] : begin[some[i]] + size[some[i]]] for i in own.tolist()])
+            c = Collection([raw[begin[some[i]] + low[i] : begin[some[i]] + high[i]] for i in own.tolist()])
             s, length = c.repeated().T
             i = own[s]
-            hit |= np.isin(code, i * (SIDE + 1) + left[some[i]] - size[some[i]] + length)
+            hit |= np.isin(code, i * (SIDE + 1) + left[some[i]] - high[i] + length)
         wide = np.zeros(len(known), bool)
         wide[lively[large]] = True
         ask = np.flatnonzero(maybe & wide[seg])
