@@ -3,7 +3,8 @@
 Rows (k, v, created, hits) lie in a table bucketed and sorted by k; a join with
 other rows on k deals those by the same buckets, and the store's side needs no
 exchange.  An upsert joins, and writes the next table; the store's name points
-to the newest, and the one before is dropped at the upsert that follows.
+to the newest, and the one before is dropped at the upsert that follows.  Files
+lie in the shared folder, and stay there until it is cleared.
 
 Edge cases: null keys are never stored nor found; of several new rows of a key
 the one of the largest seq counts, ties by the larger value; created stays that
@@ -16,6 +17,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .shared import new_path
+
 BUCKETS = 16
 
 
@@ -28,7 +31,8 @@ class Store:
 
     def _save(self, rows: DataFrame) -> None:
         table = f"{self.name}_{uuid.uuid4().hex[:12]}"
-        rows.repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").sortBy("k").format("parquet").saveAsTable(table)
+        path = new_path(self.spark, table)
+        rows.repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").sortBy("k").format("parquet").option("path", path).saveAsTable(table)
         self.tables.append(table)
         for old in self.tables[:-2]:
             self.spark.sql(f"DROP TABLE IF EXISTS {old}")
