@@ -128,14 +128,19 @@ def cache_keys(rows: DataFrame) -> DataFrame:
     return _sql("SELECT id, sha2(concat_ws(chr(0), model, source_lang, target_lang, skill_hash, facts_hash, text), 256) AS cache_key FROM {rows}", rows=rows)
 
 
-def recurring_terms(mentions: DataFrame, top: int = 40) -> DataFrame:
-    """A06. mentions (article, chunk, term, pos): terms of two chunks or more, most frequent first, then first seen; top per article."""
+def recurring_terms(mentions: DataFrame, confirmed: DataFrame | None = None, top: int = 40) -> DataFrame:
+    """A06. mentions (article, chunk, term, pos): terms of two chunks or more, most frequent first, then first seen; top per article.
+
+    Numbers, places inside a page and, by an anti join, what confirmed (article,
+    term) already has a target for are left out; null terms and articles too.
+    """
+    own = mentions if confirmed is None else mentions.join(confirmed.select("article", "term"), ["article", "term"], "left_anti")
     return _sql(
         f"""WITH a AS (SELECT article, term, count(DISTINCT chunk) AS n, min(pos) AS pos FROM {{mentions}}
-          WHERE NOT term RLIKE '^[0-9]+$' AND NOT startswith(term, '#') GROUP BY article, term HAVING count(DISTINCT chunk) >= 2),
+          WHERE article IS NOT NULL AND NOT term RLIKE '^[0-9]+$' AND NOT startswith(term, '#') GROUP BY article, term HAVING count(DISTINCT chunk) >= 2),
         b AS (SELECT article, term, n, row_number() OVER (PARTITION BY article ORDER BY n DESC, pos) AS place FROM a)
         SELECT article, term, n, place FROM b WHERE place <= {top}""",
-        mentions=mentions,
+        mentions=own,
     )
 
 

@@ -77,6 +77,12 @@ def q_recurring_terms(s, d):
     return R.recurring_terms(m)
 
 
+def q_open_terms(s, d):
+    """Recurring terms without those that the article's first turn has."""
+    m = _chunks(s, d).select("article", F.col("ord").alias("chunk"), F.posexplode(F.split("text", " ")).alias("at", "term")).select("article", "chunk", "term", (F.col("chunk") * 100000 + F.col("at")).alias("pos"))
+    return R.recurring_terms(m, m.where("chunk = 0").select("article", "term"))
+
+
 def q_canonical_forms(s, d):
     e = _t(s, d, "events").groupBy(F.col("user_id").alias("finding"), F.col("event_type").alias("form")).agg(F.count("*").alias("n"), F.min("event_id").alias("ord"))
     return R.canonical_forms(e)
@@ -157,6 +163,9 @@ ORACLE_SQL = {
     "recurring_terms": f"""WITH m AS (SELECT article, ord AS chunk, unnest(string_split(text, ' ')) AS term, ord * 100000 + generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM {_CHUNKS}),
       a AS (SELECT article, term, count(DISTINCT chunk) AS n, min(pos) AS pos FROM m WHERE NOT regexp_full_match(term, '[0-9]+') AND NOT starts_with(term, '#') GROUP BY article, term HAVING count(DISTINCT chunk) >= 2)
       SELECT article, term, n, CAST(place AS INTEGER) AS place FROM (SELECT article, term, n, row_number() OVER (PARTITION BY article ORDER BY n DESC, pos) AS place FROM a) WHERE place <= 40""",
+    "open_terms": f"""WITH m AS (SELECT article, ord AS chunk, unnest(string_split(text, ' ')) AS term, ord * 100000 + generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM {_CHUNKS}),
+      a AS (SELECT article, term, count(DISTINCT chunk) AS n, min(pos) AS pos FROM m WHERE NOT regexp_full_match(term, '[0-9]+') AND NOT starts_with(term, '#') AND (article, term) NOT IN (SELECT (article, term) FROM m WHERE chunk = 0) GROUP BY article, term HAVING count(DISTINCT chunk) >= 2)
+      SELECT article, term, n, CAST(place AS INTEGER) AS place FROM (SELECT article, term, n, row_number() OVER (PARTITION BY article ORDER BY n DESC, pos) AS place FROM a) WHERE place <= 40""",
     "canonical_forms": """SELECT finding, canonical FROM (SELECT finding, form AS canonical, count(*) OVER (PARTITION BY finding) AS k, row_number() OVER (PARTITION BY finding ORDER BY n DESC, ord) AS r
       FROM (SELECT user_id AS finding, event_type AS form, count(*) AS n, min(event_id) AS ord FROM events GROUP BY user_id, event_type)) WHERE k >= 2 AND r = 1""",
     "restore_names": """SELECT m.user_id AS article, m.event_id AS pos, o.name FROM events m JOIN (SELECT user_id AS article, event_id % 11 AS print, min(event_type) AS name FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2 HAVING count(DISTINCT event_type) = 1) o
