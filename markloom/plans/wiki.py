@@ -81,7 +81,7 @@ def q_ref_balance(s, d):
 
 
 def q_misplaced_headings(s, d):
-    return T.findings(_part(s, d, _HEADS), C.misplaced_headings, "x", ["p_partkey"]).select("p_partkey", "kind", "ord")
+    return Q.misplaced_headings(_texts(s, d, _HEADS)).select(F.col("id").alias("p_partkey"), F.lit("heading").alias("kind"), "ord")
 
 
 def q_repetitive(s, d):
