@@ -125,8 +125,8 @@ def settled_comments(source: DataFrame, made: DataFrame) -> DataFrame:
     found = comments(made).join(aligned(source, made).select("id", "n", F.lit(True).alias("paired")), ["id", "n"], "left").join(made.select("id", "text"), "id")
     text = F.col("text")
     mark = found.where(F.col("paired") & ~F.col("body").startswith(COMMENT_MARK)).select("id", "s", "e", F.concat(F.lit(f"<!-- {COMMENT_MARK} "), "body", F.lit(" -->")).alias("new"))
-    lead = F.length(F.regexp_extract(E.cut(text, F.lit(0), F.col("s").cast("int")), r"(?:^|\n)([ \t]*)$", 1))
-    alone = E.cut(text, F.lit(0), F.col("s").cast("int")).rlike(r"(?:^|\n)[ \t]*$") & F.substring(text, F.col("e").cast("int") + 1, F.length(text)).rlike(r"^[ \t]*(?:\n|$)")
+    lead = F.length(F.regexp_extract(E.cut(text, F.lit(0), F.col("s").cast("int")), r"(?:^|\n)([ \t]*)\z", 1))
+    alone = E.cut(text, F.lit(0), F.col("s").cast("int")).rlike(r"(?:^|\n)[ \t]*\z") & F.substring(text, F.col("e").cast("int") + 1, F.length(text)).rlike(r"^[ \t]*(?:\n|\z)")
     tail = F.length(F.regexp_extract(F.substring(text, F.col("e").cast("int") + 1, F.length(text)), r"^([ \t]*\n?)", 1))
     gone = found.where("paired IS NULL").select("id", F.when(alone, F.col("s") - lead).otherwise(F.col("s")).alias("s"), F.when(alone, F.col("e") + tail).otherwise(F.col("e")).alias("e"), F.lit("").alias("new"))
     out = E.edited(made, mark.unionByName(gone)).drop("n")

@@ -192,8 +192,8 @@ def without_redirect_notes(texts: DataFrame) -> DataFrame:
     bars = E.separators(texts).where("mark = '|' AND kind = 'template'").select("id", "s").distinct()
     own = R._calls(texts).where(F.col("call").rlike(r"^redirect[\w -]*$")).join(bars, ["id", "s"], "left_semi").join(texts.select("id", "text"), "id")
     before, behind = E.cut(F.col("text"), F.lit(0), F.col("s")), F.substring(F.col("text"), F.col("e") + 1, F.length("text"))
-    alone = own.where(before.rlike(r"(?:^|\n)[ \t]*$") & behind.rlike(r"^[ \t]*(?:\n|$)"))
-    lead, tail = F.length(F.regexp_extract(before, r"([ \t]*)$", 1)), F.length(F.regexp_extract(behind, r"^([ \t]*\n?)", 1))
+    alone = own.where(before.rlike(r"(?:^|\n)[ \t]*\z") & behind.rlike(r"^[ \t]*(?:\n|\z)"))
+    lead, tail = F.length(F.regexp_extract(before, r"([ \t]*)\z", 1)), F.length(F.regexp_extract(behind, r"^([ \t]*\n?)", 1))
     return E.edited(texts, alone.select("id", (F.col("s") - lead).alias("s"), (F.col("e") + tail).alias("e"), F.lit("").alias("new")))
 
 
