@@ -13,10 +13,13 @@ def _sql(text: str, **frames: DataFrame) -> DataFrame:
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
-    """P05. spans (id, s, e): overlapping or touching half-open spans of an id become one."""
+    """P05. spans (id, s, e): overlapping or touching half-open spans of an id become one; null borders come last.
+
+    Both windows have one order, so that equal spans keep theirs from the first to the second.
+    """
     return _sql(
-        """WITH a AS (SELECT id, s, e, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {spans}),
-        b AS (SELECT id, s, e, sum(CASE WHEN top IS NULL OR s > top THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM a)
+        """WITH a AS (SELECT id, s, e, max(e) OVER (PARTITION BY id ORDER BY s NULLS LAST, e NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {spans}),
+        b AS (SELECT id, s, e, sum(CASE WHEN top IS NULL OR s > top THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s NULLS LAST, e NULLS LAST ROWS UNBOUNDED PRECEDING) AS island FROM a)
         SELECT id, min(s) AS s, max(e) AS e FROM b GROUP BY id, island""",
         spans=spans,
     )
@@ -26,7 +29,7 @@ def complement_spans(spans: DataFrame, lengths: DataFrame) -> DataFrame:
     """P06. What merged spans leave uncovered of [0, n) for every (id, n) of lengths."""
     return _sql(
         """WITH edges AS (SELECT id, s, e FROM {spans} UNION ALL SELECT id, n, n FROM {lengths}),
-        gaps AS (SELECT id, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s, e), 0) AS s, s AS e FROM edges)
+        gaps AS (SELECT id, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s NULLS LAST, e NULLS LAST), 0) AS s, s AS e FROM edges)
         SELECT id, s, e FROM gaps WHERE s < e""",
         spans=merge_spans(spans),
         lengths=lengths,
