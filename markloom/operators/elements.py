@@ -26,6 +26,8 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import new_path
+
 # Fixed values.
 VERBATIM = ("math", "chem", "nowiki", "code", "pre", "syntaxhighlight", "source", "tt")
 WHOLE_TAGS = ("table", "ref", "math", "chem", "poem", "gallery", "pre", "nowiki", "syntaxhighlight", "source", "timeline", "blockquote", "score", "graph", "mapframe")
@@ -50,15 +52,30 @@ def masked(text: Column) -> Column:
 #: Texts in a task, on average.
 TEXTS = 4096
 _DEALT: WeakKeyDictionary[DataFrame, DataFrame] = WeakKeyDictionary()
+_TASKS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
+def tasks(texts: DataFrame) -> int:
+    """How many tasks texts (id, text) are dealt over: one for each TEXTS of them; they are counted once."""
+    if texts not in _TASKS:
+        _TASKS[texts] = texts.select("id").count() // TEXTS + 1
+    return _TASKS[texts]
 
 
 def dealt(texts: DataFrame) -> DataFrame:
-    """texts (id, text) dealt by id over one task for each TEXTS of them; they are counted once, and all parts of a plan share the exchange."""
+    """texts (id, text) dealt by id over their tasks; all parts of a plan share the exchange."""
     if texts not in _DEALT:
-        _DEALT[texts] = texts.select("id", "text").repartition(texts.select("id").count() // TEXTS + 1, "id")
+        _DEALT[texts] = texts.select("id", "text").repartition(tasks(texts), "id")
     return _DEALT[texts]
 
 
+def kept(rows: DataFrame, name: str, texts: DataFrame) -> DataFrame:
+    """rows (id, ...) of texts, written once to the shared folder, where several parts of a plan read them, and dealt as the texts are: what is joined by id and place later stays in as many tasks."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).repartition(tasks(texts), "id")
+
+
 def marks(texts: DataFrame) -> DataFrame:
     """(id, at, mark) of texts (id, text), in order."""
     gaps, found = split_at(F.col("text"), MARKS)

@@ -144,8 +144,9 @@ def boxes(texts: DataFrame) -> DataFrame:
 
 def with_lost_boxes(source: DataFrame, made: DataFrame) -> DataFrame:
     """P24, P25. made (id, text) with the source's infoboxes beyond as many as it has, put behind the templates and comments that it begins with; n is their number."""
-    have = boxes(made).groupBy("id").agg(F.count("*").alias("k"))
-    lost = boxes(source).join(have, "id", "left").where("ord >= coalesce(k, 0)")
+    # each kept by itself, as a task that finds the boxes of both holds some sixty sorts
+    have = E.kept(boxes(made).groupBy("id").agg(F.count("*").alias("k")), "have", made)
+    lost = E.kept(boxes(source), "boxes", made).join(have, "id", "left").where("ord >= coalesce(k, 0)")
     joined = lost.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "box"))), lambda r: r["box"]), "\n").alias("boxes"), F.count("*").alias("lost"))
     top = E.elements(made).where("depth = 0").join(E.dealt(made), "id")
     order = Window.partitionBy("id").orderBy("s")
