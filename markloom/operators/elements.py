@@ -163,12 +163,12 @@ def cut(text: Column, a: Column, b: Column) -> Column:
 
 
 def template_calls(texts: DataFrame) -> DataFrame:
-    """(id, s, e, name, depth) of all templates, the name as written, blanks around it dropped."""
+    """(id, s, e, name, depth, bar) of all templates, the name as written, blanks around it dropped; bar is the place of the first bar, null without parameters."""
     found = elements(texts).where("kind = 'template'").select("id", "s", "e", "depth")
     bars = separators(texts).where("mark = '|' AND kind = 'template'").groupBy("id", "s").agg(F.min("at").alias("bar"))
     both = found.join(bars, ["id", "s"], "left").join(dealt(texts), "id")
     name = cut(F.col("text"), F.col("s") + 2, F.coalesce("bar", F.col("e") - 2))
-    return both.select("id", "s", "e", F.regexp_replace(name, r"^\s+|\s+$", "").alias("name"), "depth")
+    return both.select("id", "s", "e", F.regexp_replace(name, r"^\s+|\s+$", "").alias("name"), "depth", "bar")
 
 
 def template_names(texts: DataFrame) -> DataFrame:

@@ -189,8 +189,7 @@ def merged_references(texts: DataFrame) -> DataFrame:
 
 def without_redirect_notes(texts: DataFrame) -> DataFrame:
     """R17. Templates named redirect… with parameters that stand alone on their lines go, with the line's end."""
-    bars = E.separators(texts).where("mark = '|' AND kind = 'template'").select("id", "s").distinct()
-    own = R._calls(texts).where(F.col("call").rlike(r"^redirect[\w -]*$")).join(bars, ["id", "s"], "left_semi").join(E.dealt(texts), "id")
+    own = R._calls(texts).where(F.col("call").rlike(r"^redirect[\w -]*$") & F.col("bar").isNotNull()).join(E.dealt(texts), "id")
     before, behind = E.cut(F.col("text"), F.lit(0), F.col("s")), F.substring(F.col("text"), F.col("e") + 1, F.length("text"))
     alone = own.where(before.rlike(r"(?:^|\n)[ \t]*\z") & behind.rlike(r"^[ \t]*(?:\n|\z)"))
     lead, tail = F.length(F.regexp_extract(before, r"([ \t]*)\z", 1)), F.length(F.regexp_extract(behind, r"^([ \t]*\n?)", 1))

@@ -75,7 +75,7 @@ def _inside(rows: DataFrame, around: DataFrame) -> DataFrame:
 
 
 def _calls(texts: DataFrame) -> DataFrame:
-    """(id, s, e, call, name, depth) of templates, call for look-ups."""
+    """(id, s, e, call, name, depth, bar) of templates, call for look-ups."""
     return E.template_calls(texts).withColumn("call", F.regexp_replace(F.lower("name"), r"\s+", " "))
 
 
