@@ -36,6 +36,8 @@ from ._text import Words, blobs, prefix_hash, span_hash
 
 BITS, GRAMS, BLOCK = 18, (1, 2, 3, 4, 5), 64
 UNKNOWN = "und"
+#: Bytes of text labelled at once; a worker keeps the memory of its largest slice.
+SLICE = 1 << 19
 
 
 def features_of(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +199,7 @@ def with_letters(w: Words, blob: np.ndarray) -> np.ndarray:
 def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and certainty of each text."""
     langs, scores, certain = [], [np.zeros(0)], [np.zeros(0)]
-    for i, j, blob, offsets in blobs(texts, 2 << 20):
+    for i, j, blob, offsets in blobs(texts, SLICE):
         if model is None:
             langs += [UNKNOWN] * (j - i)
             scores.append(np.zeros(j - i))

@@ -27,6 +27,8 @@ from ._store import written
 from ._text import Words, blobs, hash_spans
 
 CAPACITY, END = 2048, 0
+#: Bytes of text encoded at once; a worker keeps the memory of its largest slice.
+SLICE = 1 << 19
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -119,7 +121,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         encoder = Encoder.of(path)
         for batch in batches:
             ids = batch.column(0)
-            for i, j, blob, offsets in blobs(batch.column(1), 4 << 20):
+            for i, j, blob, offsets in blobs(batch.column(1), SLICE):
                 flat, first = encoder.ids(blob, offsets)
                 rows: list[tuple[int, int, int, int, int]] = []
                 for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
