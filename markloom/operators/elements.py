@@ -26,7 +26,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import new_path
+from ..sources.shared import new_path, plain_unions
 
 # Fixed values.
 VERBATIM = ("math", "chem", "nowiki", "code", "pre", "syntaxhighlight", "source", "tt")
@@ -58,6 +58,7 @@ _TASKS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 def tasks(texts: DataFrame) -> int:
     """How many tasks texts (id, text) are dealt over: one for each TEXTS of them; they are counted once."""
     if texts not in _TASKS:
+        plain_unions(texts.sparkSession)
         _TASKS[texts] = texts.select("id").count() // TEXTS + 1
     return _TASKS[texts]
 
@@ -100,20 +101,24 @@ def _kinds(found: DataFrame) -> DataFrame:
 
 
 def _paired(rows: DataFrame) -> DataFrame:
-    """(id, kind, name, s, e, opener, closer) of openers and closers of one kind and name, crossing ones too."""
+    """(id, kind, name, s, e, opener, closer) of openers and closers of one kind and name, crossing ones too, and of marks that are whole by themselves."""
     own = Window.partitionBy("id", "kind", "name").orderBy("at")
     upto, before = own.rowsBetween(Window.unboundedPreceding, Window.currentRow), own.rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.where("step <> 0").withColumn("sum", F.sum("step").over(upto))
+    summed = rows.withColumn("sum", F.sum("step").over(upto))
     low = F.least(F.lit(0), F.coalesce(F.min("sum").over(before), F.lit(0)))
-    level = summed.withColumn("low", low).withColumn("level", F.when(F.col("step") > 0, F.col("sum") - F.col("low")).when(F.col("sum") >= F.col("low"), F.col("sum") + 1 - F.col("low"))).where("level IS NOT NULL")
+    # whole marks add nothing to a sum and stand on level 0, below all others
+    level = F.when(F.col("step") == 0, 0).when(F.col("step") > 0, F.col("sum") - F.col("low")).when(F.col("sum") >= F.col("low"), F.col("sum") + 1 - F.col("low"))
+    levels = summed.withColumn("low", low).withColumn("level", level).where("level IS NOT NULL")
     order = Window.partitionBy("id", "kind", "name", "level").orderBy("at")
-    after = level.withColumn("next", F.lead(F.struct("step", "at", "mark")).over(order)).where("step = 1 AND next.step = -1")
-    return after.select("id", "kind", "name", F.col("at").alias("s"), (F.col("next.at") + F.length("next.mark")).alias("e"), F.col("mark").alias("opener"), F.col("next.mark").alias("closer"))
+    after = levels.withColumn("next", F.lead(F.struct("step", "at", "mark")).over(order)).where("step = 0 OR step = 1 AND next.step = -1")
+    last = F.when(F.col("step") == 1, F.col("next"))
+    e = F.coalesce(last["at"] + F.length(last["mark"]), F.col("at") + F.length("mark"))
+    return after.select("id", "kind", "name", F.col("at").alias("s"), e.alias("e"), F.col("mark").alias("opener"), F.coalesce(last["mark"], F.lit("")).alias("closer"))
 
 
 def _depths(found: DataFrame) -> DataFrame:
     """Elements with their depths: the number of open ones before the start (depth) and behind the end (over)."""
-    ends = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("step")), F.struct((F.col("e") - 1).alias("at"), F.lit(-1).alias("step")))
+    ends = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("step")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("step")))
     rows = found.select("*", F.explode(ends).alias("x")).select(*found.columns, "x.at", "x.step")
     order = Window.partitionBy("id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     open_ = rows.withColumn("open", F.sum("step").over(order) - F.when(F.col("step") > 0, 1).otherwise(0))
@@ -121,40 +126,37 @@ def _depths(found: DataFrame) -> DataFrame:
     return open_.withColumn("over", F.lead("open").over(back)).where("step = 1").drop("at", "step").withColumnRenamed("open", "depth")
 
 
-def _above(rows: DataFrame, around: DataFrame) -> DataFrame:
-    """rows (id, at, level) with owner, the struct of the last element of around (id, s, depth, element) that started on that level before at."""
-    both = rows.select("*", F.lit(None).cast(around.schema["element"].dataType).alias("element")).unionByName(around.select("id", F.col("s").alias("at"), F.col("depth").alias("level"), "element"), allowMissingColumns=True)
-    order = Window.partitionBy("id", "level").orderBy("at", F.col("element").isNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("owner", F.last("element", ignorenulls=True).over(order)).where("element IS NULL").drop("element")
+def _nested(texts: DataFrame, separated: bool = False) -> DataFrame:
+    """The rows of elements; if separated, bars and equals signs too, as whole elements of kind separator that are around nothing.
 
-
-def _elements(rows: DataFrame) -> DataFrame:
-    pairs = _paired(rows)
+    All comes from one table, row by row, without a union: what a union of parts
+    of one table claims of its partitions may not hold when adaptive execution
+    has changed a part.
+    """
+    rows = _kinds(marks(texts))
+    found = _paired(rows.fillna(0, "step") if separated else rows.where("step IS NOT NULL"))
     for _ in range(2):
-        pairs = _depths(pairs).where("depth = over").drop("depth", "over")
-    whole = rows.where("step = 0").select("id", "kind", "name", F.col("at").alias("s"), (F.col("at") + F.length("mark")).alias("e"), F.col("mark").alias("opener"), F.lit("").alias("closer"))
-    return _depths(pairs.unionByName(whole)).drop("over")
+        found = _depths(found).where("depth = over").drop("depth", "over")
+    found = _depths(found).drop("over")
+    # each row twice: as one that looks for the element a level above, and as one that may be it
+    element = F.struct("kind", "name", "s", "e")
+    asks = F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast(found.select(element.alias("x")).schema["x"].dataType).alias("element"))
+    both = F.when(F.col("kind") == "separator", F.array(asks)).otherwise(F.array(asks, F.struct(F.col("depth").alias("level"), element.alias("element"))))
+    each = found.select("*", F.explode(both).alias("x")).select(*found.columns, "x.level", "x.element")
+    order = Window.partitionBy("id", "level").orderBy("s", F.col("element").isNull().desc()).rowsBetween(Window.unboundedPreceding, -1)
+    owned = each.withColumn("owner", F.last("element", ignorenulls=True).over(order)).where("element IS NULL")
+    return owned.select("id", "kind", "name", "s", "e", "opener", "closer", "depth", F.when(F.col("owner.e") >= F.col("e"), F.col("owner")).alias("parent"))
 
 
 def elements(texts: DataFrame) -> DataFrame:
     """(id, kind, name, s, e, opener, closer, depth, parent) of all elements: parent is the struct (kind, name, s, e) of the element around, null at the top."""
-    found = _elements(_kinds(marks(texts)))
-    around = found.select("id", "s", "depth", F.struct("kind", "name", "s", "e").alias("element"))
-    inner = _above(found.withColumns({"at": F.col("s"), "level": F.col("depth") - 1}), around)
-    return inner.select("id", "kind", "name", "s", "e", "opener", "closer", "depth", F.when(F.col("owner.e") >= F.col("e"), F.col("owner")).alias("parent"))
+    return _nested(texts)
 
 
 def separators(texts: DataFrame) -> DataFrame:
     """(id, at, mark, kind, s, e) of bars and equals signs that stand in a template or link itself; kind, s and e are their owner's."""
-    rows = _kinds(marks(texts))
-    found = _elements(rows)
-    around = found.select("id", "s", "depth", F.struct("kind", "s", "e").alias("element"))
-    # the level of a separator: elements open at its place
-    steps = found.select("id", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("step")), F.struct((F.col("e") - 1).alias("at"), F.lit(-1).alias("step")))).alias("x")).select("id", "x.at", "x.step", F.lit("").alias("mark"))
-    both = steps.unionByName(rows.where("step IS NULL").select("id", "at", F.lit(0).alias("step"), "mark"))
-    order = Window.partitionBy("id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = both.withColumn("level", F.sum("step").over(order) - 1).where("mark <> ''").drop("step")
-    return _above(level, around).where("owner.kind IN ('template', 'link') AND owner.e > at").select("id", "at", "mark", "owner.kind", "owner.s", "owner.e")
+    own = _nested(texts, separated=True).where("kind = 'separator' AND parent.kind IN ('template', 'link')")
+    return own.select("id", F.col("s").alias("at"), F.col("opener").alias("mark"), "parent.kind", "parent.s", "parent.e")
 
 
 def cut(text: Column, a: Column, b: Column) -> Column:
@@ -164,9 +166,9 @@ def cut(text: Column, a: Column, b: Column) -> Column:
 
 def template_calls(texts: DataFrame) -> DataFrame:
     """(id, s, e, name, depth, bar) of all templates, the name as written, blanks around it dropped; bar is the place of the first bar, null without parameters."""
-    found = elements(texts).where("kind = 'template'").select("id", "s", "e", "depth")
-    bars = separators(texts).where("mark = '|' AND kind = 'template'").groupBy("id", "s").agg(F.min("at").alias("bar"))
-    both = found.join(bars, ["id", "s"], "left").join(dealt(texts), "id")
+    call, bar = F.col("kind") == "template", (F.col("kind") == "separator") & (F.col("opener") == "|") & (F.col("parent.kind") == "template")
+    rows = _nested(texts, separated=True).where(call | bar).select("id", F.when(call, F.col("s")).otherwise(F.col("parent.s")).alias("s"), F.when(call, F.col("e")).alias("e"), F.when(call, F.col("depth")).alias("depth"), F.when(~call, F.col("s")).alias("bar"))
+    both = rows.groupBy("id", "s").agg(F.max("e").alias("e"), F.max("depth").alias("depth"), F.min("bar").alias("bar")).join(dealt(texts), "id")
     name = cut(F.col("text"), F.col("s") + 2, F.coalesce("bar", F.col("e") - 2))
     return both.select("id", "s", "e", F.regexp_replace(name, r"^\s+|\s+$", "").alias("name"), "depth", "bar")
 
@@ -246,7 +248,7 @@ def protected_spans(texts: DataFrame) -> DataFrame:
     plain = F.col("kind").isin("template", "comment", "table")
     top = (F.col("depth") == 0) & (plain | ((F.col("kind") == "tag") & F.col("name").isin(*WHOLE_TAGS)))
     defined = (F.col("depth") == 1) & (F.col("parent.kind") == "tag") & (F.col("parent.name") == "references") & ((F.col("kind") == "template") | ((F.col("kind") == "tag") & (F.col("name") == "ref")))
-    spans = found.where(top | defined).select("id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")).unionByName(list_runs(texts).select("id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")))
+    spans = found.where(top | defined).select("id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e")).unionByName(list_runs(texts).select("id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))).repartition(tasks(texts), "id")
     order = Window.partitionBy("id").orderBy("s", "e")
     before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))

@@ -152,7 +152,7 @@ def nested_notes(texts: DataFrame) -> DataFrame:
     found = E.kept(E.elements(texts), "elements", texts)
     refs = found.where("kind = 'tag' AND name = 'ref' AND closer <> ''").select("id", "s", "e", "opener", "closer", "parent")
     every = found.where("kind = 'tag' AND name = 'ref'")
-    outer = refs.join(R._inside(refs.select("id", F.col("s"), "e"), refs.select("id", F.col("s"), "e").withColumn("s", F.col("s") + 1)).select("id", "s"), ["id", "s"], "left_anti")
+    outer = refs.join(R._inside(refs.select("id", F.col("s"), "e"), refs.select("id", F.col("s"), "e").withColumn("s", F.col("s") + 1), texts).select("id", "s"), ["id", "s"], "left_anti")
     inner = every.where("parent.kind = 'tag' AND parent.name = 'ref'").select("id", F.col("parent.s").alias("s"), F.col("s").alias("x"))
     deep = inner.select("id", F.col("x").alias("s")).join(inner.select("id", "s").distinct(), ["id", "s"])
     holds = inner.select("id", "s").distinct().join(inner.join(deep.select("id", F.col("s").alias("x")), ["id", "x"]).select("id", "s").distinct(), ["id", "s"], "left_anti")
@@ -169,7 +169,7 @@ def nested_notes(texts: DataFrame) -> DataFrame:
     marks = E.marks(texts).where("mark = '|'").select("id", F.col("at").alias("s"))
     around = own.select("id", F.col("s"), "e")
     closed = found.where("kind IN ('template', 'link', 'argument', 'tag')").join(own.select("id", "s"), ["id", "s"], "left_anti").select("id", "s", "e")
-    bars = R._inside(marks, around).join(R._inside(marks, closed), ["id", "s"], "left_anti").select("id", F.col("s").cast("long").alias("s"), (F.col("s") + 1).cast("long").alias("e"), F.lit("{{!}}").alias("new"))
+    bars = R._inside(marks, around, texts).join(R._inside(marks, closed, texts), ["id", "s"], "left_anti").select("id", F.col("s").cast("long").alias("s"), (F.col("s") + 1).cast("long").alias("e"), F.lit("{{!}}").alias("new"))
     out = E.edited(texts, ends.unionByName(bars)).drop("n")
     return out.join(own.groupBy("id").agg(F.count("*").alias("n")), "id", "left").select("id", "text", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -245,7 +245,7 @@ def expanded_notes(texts: DataFrame) -> DataFrame:
     groups = usable.join(style, "id", "left").select("id", group.alias("group"))
     refs = E.kept(E.elements(texts).where("kind = 'tag' AND name = 'ref'").select("id", "s", "e"), "refs", texts)
     markers = calls.where("call = 'cref2'").join(usable, "id", "left_semi").select("id", "s", "e")
-    inside = R._inside(markers, refs).select("id", "s", F.lit(True).alias("inside"))
+    inside = R._inside(markers, refs, texts).select("id", "s", F.lit(True).alias("inside"))
     labels = params.where("call = 'cref2' AND value <> ''").where(~F.col("keyed") | F.col("name").rlike("^[0-9]+$")).select("id", "s", "n", F.col("value").alias("label"))
     each = markers.join(inside, ["id", "s"], "left").join(labels, ["id", "s"], "left").join(notes.select("id", "label", F.lit(True).alias("known")), ["id", "label"], "left")
     whole = Window.partitionBy("id", "s")
@@ -255,7 +255,7 @@ def expanded_notes(texts: DataFrame) -> DataFrame:
     # a note as a text of its own: references taken out, and put behind
     own = notes.select(F.struct("id", "label").alias("id"), F.col("note").alias("text"))
     inner = E.kept(E.elements(own).where("kind = 'tag' AND name = 'ref'").select("id", "s", "e"), "inner", own)
-    top = inner.join(R._inside(inner, inner.withColumn("s", F.col("s") + 1)).select("id", "s"), ["id", "s"], "left_anti").join(own, "id")
+    top = inner.join(R._inside(inner, inner.withColumn("s", F.col("s") + 1), own).select("id", "s"), ["id", "s"], "left_anti").join(own, "id")
     behind = top.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", E.cut(F.col("text"), F.col("s"), F.col("e")).alias("ref")))), lambda x: x["ref"]), "").alias("behind"))
     bare = _kept(E.edited(own, top.select("id", "s", "e", F.lit("").alias("new"))).select("id", F.concat(F.lit("<ref>"), E.trimmed(F.col("text")), F.lit("</ref>")).alias("text")), "bodies")
     bodies = R.plain_notes(bare).join(behind, "id", "left").select("id.id", "id.label", F.substring("text", 6, 1 << 30).alias("body"), F.coalesce("behind", F.lit("")).alias("behind"))

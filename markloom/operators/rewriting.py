@@ -66,10 +66,10 @@ def with_languages(texts: DataFrame, by_url: DataFrame, by_title: DataFrame) ->
     return E.edited(texts, found.where(lang.isNotNull()).select(*_edit(end, F.concat(F.lit("|language="), lang))))
 
 
-def _inside(rows: DataFrame, around: DataFrame) -> DataFrame:
-    """rows (id, s, ...) that start inside some span of around (id, s, e): by the number of open spans at their place."""
+def _inside(rows: DataFrame, around: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows (id, s, ...) of texts that start inside some span of around (id, s, e): by the number of open spans at their place."""
     steps = around.select("id", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("step")), F.struct((F.col("e") - 1).alias("at"), F.lit(-1).alias("step")))).alias("x")).select("id", "x.at", "x.step")
-    both = rows.withColumn("at", F.col("s")).withColumn("step", F.lit(0)).withColumn("own", F.lit(True)).unionByName(steps, allowMissingColumns=True)
+    both = rows.withColumn("at", F.col("s")).withColumn("step", F.lit(0)).withColumn("own", F.lit(True)).unionByName(steps, allowMissingColumns=True).repartition(E.tasks(texts), "id")
     order = Window.partitionBy("id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("open", F.sum("step").over(order)).where("own AND open > 0").drop("at", "step", "own", "open")
 
@@ -82,7 +82,7 @@ def _calls(texts: DataFrame) -> DataFrame:
 def plain_notes(texts: DataFrame) -> DataFrame:
     """R06. Self-wrapping footnotes inside a reference become their twins that do not wrap."""
     refs = E.elements(texts).where("kind = 'tag' AND name = 'ref'").select("id", "s", "e")
-    own = _inside(_calls(texts).where(F.col("call").isin(*PLAIN_TWIN)), refs).join(E.dealt(texts), "id")
+    own = _inside(_calls(texts).where(F.col("call").isin(*PLAIN_TWIN)), refs, texts).join(E.dealt(texts), "id")
     at = F.col("s") + 2 + F.length(F.regexp_extract(E.cut(F.col("text"), F.col("s") + 2, F.col("e")), r"^\s*", 0))
     span = F.struct(at.alias("s"), (at + F.length("name")).alias("e"))
     return E.edited(texts, own.select(*_edit(span, _map(PLAIN_TWIN)[F.col("call")])))

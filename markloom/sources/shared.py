@@ -23,3 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def plain_unions(spark: SparkSession) -> None:
+    """Unions claim no partitioning in this session, so that what is above one deals its rows itself.
+
+    By Spark 4.1's default a union of parts dealt alike counts as dealt so; when
+    adaptive execution then changes one part, the union has the tasks of all
+    parts one after another, while joins above it still zip it as planned.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
