@@ -7,7 +7,7 @@ one may be the end of a word there, its last one the start, and a single one
 any part.  A name meets texts on one token, the one that the fewest texts of
 the scope hold: whole ones by equality, parts by the words of the scope's
 vocabulary that hold them, which are found over their rarest gram of at most
-three characters.  Names without a letter or digit meet texts on their rarest
+three characters or the end or start that they must be.  Names without a letter or digit meet texts on their rarest
 character.  What meets is verified on the text.
 
 So texts are exploded once, into their distinct words and marks, no pair of a
@@ -58,15 +58,43 @@ def _grams(word: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(word) - size + 1), lambda p: F.substring(word, p, size))
 
 
+def _anchored(kind: Column, token: Column, size: Column) -> Column:
+    """A key for the end of a word that the name's first token is, or the start that its last one is: characters that no token holds tell them from grams."""
+    return F.when(kind == START, F.concat(F.lit("$"), F.right(token, size))).when(kind == END, F.concat(F.lit("^"), F.left(token, size)))
+
+
+def _asked(kind: Column, token: Column) -> Column:
+    """The keys over which a token may be found: its grams and its end or start; of a short one, that is the whole of it."""
+    size = F.least(F.length(token), F.lit(_GRAM))
+    key = _anchored(kind, token, size)
+    return F.when(key.isNull(), _grams(token, size)).when(F.length(token) <= _GRAM, F.array(key)).otherwise(F.concat(_grams(token, size), F.array(key)))
+
+
+def _keys(word: Column) -> Column:
+    """All keys of a word."""
+    sizes = [F.lit(k) for k in range(1, _GRAM + 1)]
+    each = [F.concat(_grams(word, k), F.array(_anchored(F.lit(START), word, k), _anchored(F.lit(END), word, k))) for k in sizes]
+    return F.concat(*(F.when(F.length(word) >= k, x).otherwise(F.array().cast("array<string>")) for k, x in zip(sizes, each)))
+
+
+#: Hashes of the keys that a scope asks for: so many at most are sent to its words.
+_HASHES = 4096
+
+
 def _spellings(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(scope, token, kind, word, n): the words of the vocabulary that hold a part of a word, found over its rarest gram."""
+    """(scope, token, kind, word, n): the words of the vocabulary that hold a part of a word, found over its rarest key.
+
+    A word's keys are made only where its scope asks for one of their hashes;
+    what the hashes let through is joined by the keys themselves.
+    """
     parts = tokens.where(F.col("kind").isin(START, END, PART)).select("scope", "token", "kind").distinct()
-    size = F.least(F.length("token"), F.lit(_GRAM))
-    asked = parts.select("scope", "token", "kind", F.explode(F.array_distinct(_grams(F.col("token"), size))).alias("gram"))
-    known = asked.select("scope", "gram").distinct()
-    sizes = F.explode(F.filter(F.array(*map(F.lit, range(1, _GRAM + 1))), lambda k: k <= F.length("word")))
-    indexed = vocabulary.select("scope", "word", "n", sizes.alias("k")).select("scope", "word", "n", F.explode(F.array_distinct(_grams(F.col("word"), F.col("k")))).alias("gram"))
-    held = indexed.join(known, ["scope", "gram"], "left_semi")
+    asked = parts.select("scope", "token", "kind", F.explode(F.array_distinct(_asked(F.col("kind"), F.col("token")))).alias("gram"))
+    hashed = lambda key: F.pmod(F.xxhash64(key), F.lit(_HASHES)).cast("int")
+    wanted = asked.groupBy("scope").agg(F.collect_set(hashed(F.col("gram"))).alias("wanted"))
+    own = vocabulary.select("scope", "word", "n").join(wanted, "scope")
+    some = F.array_distinct(F.filter(_keys(F.col("word")), lambda key: F.array_contains("wanted", hashed(key))))
+    indexed = own.select("scope", "word", "n", F.explode(some).alias("gram"))
+    held = indexed.join(asked.select("scope", "gram").distinct(), ["scope", "gram"], "left_semi")
     counted = asked.join(held.groupBy("scope", "gram").agg(F.count("*").alias("words")), ["scope", "gram"], "left").withColumn("words", F.coalesce("words", F.lit(0)))
     rarest = counted.groupBy("scope", "token", "kind").agg(F.min(F.struct("words", "gram")).alias("g")).select("scope", "token", "kind", F.col("g.gram").alias("gram"))
     met = rarest.join(held, ["scope", "gram"])
@@ -88,6 +116,6 @@ def anchors(names: DataFrame, words: DataFrame) -> DataFrame:
 def held(names: DataFrame, texts: DataFrame) -> DataFrame:
     """(scope, name, part) of names (scope, name) in texts (scope, part, text), one row for each text that holds the name."""
     own = texts.select("scope", "part", "text").where("text IS NOT NULL").withColumn("text_id", F.xxhash64("part", "text"))
-    words = text_words(own.select("scope", "text_id", "text").distinct())
+    words = text_words(own)
     met = anchors(names, words).join(words, ["scope", "word"]).select("scope", "name", "text_id").distinct()
     return met.join(own, ["scope", "text_id"]).where(F.contains("text", F.col("name"))).select("scope", "name", "part")
